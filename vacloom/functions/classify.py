@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import dim_join
-from .text import lookup
+from .text import let, lookup
 from .urls import host_suffixes
 
 # Role families, the words that decide them in order, and accepted aliases.
@@ -174,29 +174,32 @@ def sector_label(value: Column) -> Column:
     return first_rule(value, rules, F.lit(None).cast("string"))
 
 
-def sector_of(
+def sector_or_null(
     industry: Column, name: Column | None = None, domain: Column | None = None,
     description: Column | None = None, override: Column | None = None,
 ) -> Column:
-    """Stable sector from the published industry, with context used only for placeholders."""
-    label = sector_text(industry)
-    blank = F.lit("").cast("string")
-    context = sector_text(F.concat_ws(
-        " ", *[F.nullif(c, F.lit("")) for c in (name, domain) if c is not None]
-    )) if name is not None or domain is not None else blank
-    prose = sector_text(description) if description is not None else blank
-    placeholder = (label == "") | label.rlike(PLACEHOLDER_INDUSTRY)
-    known = override if override is not None else F.lit(None).cast("string")
-    return F.coalesce(
-        sector_label(label),
-        F.when(placeholder, F.coalesce(known, sector_label(context), sector_label(prose))),
-        F.lit("Other"),
-    )
-
-
-def kept_sector(inferred: Column, stored: Column) -> Column:
-    """A stored sector survives only where the evidence says nothing."""
-    return F.when((inferred == "Other") & (F.coalesce(stored, F.lit("Other")) != "Other"), stored).otherwise(inferred)
+    """Sector the evidence supports; context counts only where the industry is a placeholder."""
+    by_label = let(sector_text(industry), sector_label)
+    context: list[Column] = [] if override is None else [override]
+    named = [F.nullif(c, F.lit("")) for c in (name, domain) if c is not None]
+    if named:
+        context.append(let(sector_text(F.concat_ws(" ", *named)), sector_label))
+    if description is not None:
+        context.append(let(sector_text(description), sector_label))
+    if not context:
+        return by_label
+    placeholder = let(sector_text(industry), lambda v: (v == "") | v.rlike(PLACEHOLDER_INDUSTRY))
+    return F.coalesce(by_label, F.when(placeholder, F.coalesce(*context)))
+
+
+def sector_of(industry: Column, *context: Column | None, **named: Column | None) -> Column:
+    """Stable sector from the published industry, Other where nothing is known."""
+    return F.coalesce(sector_or_null(industry, *context, **named), F.lit("Other"))
+
+
+def kept_sector(supported: Column, stored: Column) -> Column:
+    """A stored sector survives only where the evidence says nothing (null)."""
+    return F.coalesce(supported, stored, F.lit("Other"))
 
 
 def with_sector_override(df: DataFrame, domain: str, overrides: DataFrame, out: str = "override") -> DataFrame:

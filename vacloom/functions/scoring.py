@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import round_half_up
+from .text import let, round_half_up
 from .urls import bare_host
 
 # Score method versions, weights and saturation points.
@@ -43,8 +45,6 @@ def decay(days: Column, full: float, zero: float) -> Column:
 
 
 def volume_points(open_jobs: Column) -> Column:
-    import math
-
     roles = F.greatest(open_jobs, F.lit(0))
     return F.lit(30.0) * F.least(F.lit(1.0), F.log1p(roles) / math.log1p(VOLUME_SATURATION))
 
@@ -104,43 +104,42 @@ def corroboration_points(source_url: Column, careers_url: Column) -> Column:
     return F.when((left != "") & (right != "") & (left != right), F.lit(10.0)).otherwise(F.lit(0.0))
 
 
-def receipt_total(points: list[Column]) -> Column:
-    total = points[0]
-    for item in points[1:]:
-        total = total + item
-    return round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).cast("long")
-
-
-def receipt_cents(points: list[Column], maxima: list[int]) -> tuple[Column, list[Column]]:
-    """Rounded total and component cents that add up to it.
+def receipt(version: str, names: list[str], points: list[Column], maxima: list[int]) -> Column:
+    """struct(value, version, components) whose component points add up to the value.
 
-    The rounding residual is applied from the last component backwards, never beyond a
-    component's own bounds.
+    The total is rounded half up and the rounding residual is applied from the last component
+    backwards, never beyond a component's own bounds.
     """
-    value = receipt_total(points)
-    cents = [round_half_up(p * 100).cast("long") for p in points]
-    summed = cents[0]
-    for item in cents[1:]:
-        summed = summed + item
-    rest = value * 100 - summed
-    settled: list[Column] = []
-    for current, maximum in zip(reversed(cents), reversed(maxima)):
-        room = F.when(rest > 0, F.lit(maximum * 100) - current).otherwise(current)
-        applied = F.signum(rest).cast("long") * F.least(F.abs(rest), room)
-        settled.insert(0, current + applied)
-        rest = rest - applied
-    return value, settled
-
-
-def receipt(version: str, names: list[str], points: list[Column], maxima: list[int]) -> Column:
-    """struct(value, version, components) with points as decimal(6,2)."""
-    value, cents = receipt_cents(points, maxima)
-    parts = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"),
-            (cent / F.lit(100)).cast("decimal(6,2)").alias("points"),
-            F.lit(maximum).alias("max"),
+    def rounded(raw: Column) -> Column:
+        total = F.aggregate(raw, F.lit(0.0), lambda a, p: a + p)
+        return F.struct(
+            round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).cast("long").alias("value"),
+            F.transform(raw, lambda p: round_half_up(p * 100).cast("long")).alias("cents"),
         )
-        for name, cent, maximum in zip(names, cents, maxima)
-    ])
-    return F.struct(value.cast("int").alias("value"), F.lit(version).alias("version"), parts.alias("components"))
+
+    def settled(r: Column) -> Column:
+        rest = r["value"] * 100 - F.aggregate(r["cents"], F.lit(0).cast("long"), lambda a, c: a + c)
+        bounds = F.array(*[F.lit(m * 100).cast("long") for m in maxima])
+        start = F.struct(rest.alias("rest"), F.array().cast("array<bigint>").alias("cents"))
+
+        def step(done: Column, item: Column) -> Column:
+            room = F.when(done["rest"] > 0, item["1"] - item["0"]).otherwise(item["0"])
+            applied = (F.signum(done["rest"]) * F.least(F.abs(done["rest"]), room)).cast("long")
+            return let(applied, lambda a: F.struct(
+                (done["rest"] - a).alias("rest"),
+                F.concat(F.array(item["0"] + a), done["cents"]).alias("cents"),
+            ))
+
+        return F.aggregate(F.reverse(F.arrays_zip(r["cents"].alias("0"), bounds.alias("1"))), start, step)["cents"]
+
+    def whole(r: Column) -> Column:
+        labels = F.array(*[F.lit(n) for n in names])
+        limits = F.array(*[F.lit(m) for m in maxima])
+        parts = let(settled(r), lambda cents: F.transform(labels, lambda name, i: F.struct(
+            name.alias("name"), (F.get(cents, i) / F.lit(100)).cast("decimal(6,2)").alias("points"),
+            F.get(limits, i).alias("max"),
+        )))
+        return F.struct(r["value"].cast("int").alias("value"), F.lit(version).alias("version"), parts.alias("components"))
+
+    raw = F.array(*[p.cast("double") for p in points])
+    return let(raw, lambda p: let(rounded(p), whole))

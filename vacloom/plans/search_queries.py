@@ -116,8 +116,8 @@ ORDER_SQL = {
     "loc": "lower(location), lower(title), job_id",
     "comp_low": "CASE WHEN compensation LIKE '$%' THEN compensation ELSE '~~~~' END, job_id",
     "comp_high": "CASE WHEN compensation LIKE '$%' THEN compensation ELSE '' END DESC, job_id",
-    "recent": "last_verified_at DESC, job_id",
-    "oldest": "last_verified_at, job_id",
+    "recent": "job_role.last_verified_at DESC, job_id",
+    "oldest": "job_role.last_verified_at, job_id",
 }
 
 
