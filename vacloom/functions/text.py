@@ -42,10 +42,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def fold_accents(value: Column) -> Column:
     singles, targets, multiples = _fold_tables()
-    wide = "[" + "".join(char for char, _ in multiples) + "]"
-    expanded = value
-    for char, folded in multiples:
-        expanded = F.replace(expanded, F.lit(char), F.lit(folded))
+    codes = sorted(ord(char) for char, _ in multiples)
+    starts = [c for i, c in enumerate(codes) if i == 0 or c - codes[i - 1] > 64]
+    ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] - c > 64]
+    # A few ranges around the characters that widen: a superset is cheap to test and harmless.
+    wide = "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends)) + "]"
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in multiples])
+    expanded = F.aggregate(pairs, value, lambda done, p: F.replace(done, p["c"], p["t"]))
     flat = F.translate(
         F.when(value.rlike(wide), expanded).otherwise(value), singles, targets
     )

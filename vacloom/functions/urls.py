@@ -78,7 +78,7 @@ def canonical_url(url: Column) -> Column:
     kept = F.filter(keyed, lambda s: ~(
         F.lower(s["key"]).startswith("utm_") | F.lower(s["key"]).isin(*TRACKING_PARAMETERS)
     ))
-    query = F.array_join(F.transform(F.array_sort(kept), lambda s: s["pair"]), "&")
+    query = F.array_join(F.transform(F.sort_array(kept), lambda s: s["pair"]), "&")
     path = F.regexp_replace(F.regexp_replace(path_of(url), "/{2,}", "/"), "/$", "")
     tidy = F.concat(
         F.lower(_part(url, 1)), F.lit("://"), hostname(url), _port(url),
@@ -252,7 +252,7 @@ def external_career_signals(url: Column) -> Column:
     def when(pattern: str, name: str) -> Column:
         return F.when(path.rlike(f"(^|/){pattern}(/|$)"), F.lit(name))
 
-    return F.array_sort(F.array_compact(F.array(
+    return F.sort_array(F.array_compact(F.array(
         when("careers?", "career_path"), when("jobs?", "jobs_path"),
         when("(?:openings?|vacancies)", "openings_path"), when("positions?", "positions_path"),
         when("(?:apply|application)", "apply_path"),

@@ -118,7 +118,7 @@ def movement_evidence(companies: DataFrame, jobs: DataFrame, changes: DataFrame)
 def role_summaries(evidence: DataFrame, keys: list[str], shown: int = 3) -> DataFrame:
     """First titles of every movement, joined; the remainder is stated by its count."""
     first = top_in_group(evidence, keys, [F.col("title").asc(), F.col("job_id").asc(), F.col("change_type")], shown)
-    ordered = F.array_sort(F.collect_list(F.struct("_rank", "title")))
+    ordered = F.sort_array(F.collect_list(F.struct("_rank", "title")))
     return first.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["title"]), ", ").alias("_titles"))
 
 

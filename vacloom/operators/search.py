@@ -219,11 +219,11 @@ def companies_with_lists(
     names = (
         bridge.join(investors.select("investor_id", "name"), "investor_id")
         .select("company_id", "name").distinct()
-        .groupBy("company_id").agg(F.array_sort(F.collect_list("name")).alias("investors"))
+        .groupBy("company_id").agg(F.sort_array(F.collect_list("name")).alias("investors"))
     )
     providers = (
         sources.filter("enabled").select("company_id", "provider").distinct()
-        .groupBy("company_id").agg(F.array_sort(F.collect_list("provider")).alias("providers"))
+        .groupBy("company_id").agg(F.sort_array(F.collect_list("provider")).alias("providers"))
     )
     first = sources.groupBy("company_id").agg(F.min("first_discovered_at").alias("first_discovered_at"))
     empty = F.array().cast("array<string>")

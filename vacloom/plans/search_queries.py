@@ -173,7 +173,7 @@ def facet_lists(spark, sf_dir):
 def industry_labels_by_sector(spark, sf_dir):
     pairs = role(spark, sf_dir, "company").select("sector", "industry").distinct()
     return pairs.groupBy("sector").agg(
-        F.array_join(F.array_sort(F.collect_list("industry")), " | ").alias("industries")
+        F.array_join(F.sort_array(F.collect_list("industry")), " | ").alias("industries")
     )
 
 

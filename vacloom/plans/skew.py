@@ -113,6 +113,18 @@ def group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return dim_join(df, sizes, keys, "inner")
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work before heavy per-row expressions when the input has few splits.
+
+    A table of many files passes through untouched; a single large file would otherwise be
+    processed by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def top_in_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per key.
 
