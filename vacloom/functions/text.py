@@ -47,8 +47,10 @@ def fold_accents(value: Column) -> Column:
     ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] - c > 64]
     # A few ranges around the characters that widen: a superset is cheap to test and harmless.
     wide = "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends)) + "]"
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in multiples])
-    expanded = F.aggregate(pairs, value, lambda done, p: F.replace(done, p["c"], p["t"]))
+    pairs = F.split(F.lit("\n".join(f"{char}\t{folded}" for char, folded in multiples)), "\n")
+    expanded = F.aggregate(pairs, value, lambda done, pair: F.replace(
+        done, F.split(pair, "\t")[0], F.split(pair, "\t")[1]
+    ))
     flat = F.translate(
         F.when(value.rlike(wide), expanded).otherwise(value), singles, targets
     )
