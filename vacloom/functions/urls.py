@@ -9,7 +9,7 @@ from .text import lookup  # noqa: F401  (re-exported for callers that map hosts)
 
 URL_PATTERN = (
     "^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@\\s]*@)?([^/?#:\\s]+)(?::([0-9]*))?"
-    "([^?#\\s]*)(\\?[^#\\s]*)?(#\\S*)?$"
+    "([^?#]*)(\\?[^#]*)?(#.*)?$"
 )
 
 # Query parameters that only record where a visitor came from.
@@ -58,6 +58,16 @@ def _port(url: Column) -> Column:
     return F.when(default | (port == ""), F.lit("")).otherwise(F.concat(F.lit(":"), port))
 
 
+def percent_encoded(value: Column) -> Column:
+    """Blanks, quotes, brackets and non-ASCII characters of a URL as percent-encoded UTF-8."""
+    unsafe = "[^\\x21\\x23-\\x3b\\x3d\\x3f-\\x5f\\x61-\\x7a\\x7c\\x7e]"
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    safe = F.transform(chars, lambda c: F.when(
+        c.rlike(unsafe), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    ).otherwise(c))
+    return F.when(value.rlike(unsafe), F.array_join(safe, "")).otherwise(value)
+
+
 def normal_href(url: Column) -> Column:
     """What a browser shows for an absolute URL: lower host, default port and empty path fixed."""
     return F.concat(
@@ -118,7 +128,7 @@ def resolve_url(href: Column, base: Column) -> Column:
         return F.when(dotted, resolve_path(full)).otherwise(full)
 
     other_scheme = link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
-    return (
+    return percent_encoded(
         F.when(link.rlike("(?i)^https?://"), F.when(is_url(link), normal_href(link)))
         .when(other_scheme | ~is_url(base), F.lit(None).cast("string"))
         .when(link.startswith("//"), normal_href(F.concat(scheme, F.lit(":"), link)))
