@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import lookup  # noqa: F401  (re-exported for callers that map hosts)
+from .text import let
 
 URL_PATTERN = (
     "^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@\\s]*@)?([^/?#:\\s]+)(?::([0-9]*))?"
@@ -159,17 +159,22 @@ VALID_HOST = "^(?=.{1,253}$)([a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?\\.)+[a-z0-9](
 
 def registrable_domain(value: Column, suffixes: list[str] | None = None) -> Column:
     """Public suffix plus one label, empty for addresses, bare names and suffixes."""
-    host = _host_of(value)
-    labels = F.split(host, "\\.")
-    known = F.array(*[F.lit(s) for s in (suffixes or PUBLIC_SUFFIXES)])
-    suffix_count = F.size(F.split(F.coalesce(
-        F.try_element_at(F.filter(host_suffixes(host), lambda s: F.array_contains(known, s)), F.lit(1)),
-        F.element_at(labels, -1),
-    ), "\\."))
-    size = F.size(labels)
-    domain = F.array_join(F.slice(labels, size - suffix_count, suffix_count + 1), ".")
-    usable = host.rlike(VALID_HOST) & ~host.rlike("^[0-9.]+$") & (size > suffix_count)
-    return F.when(usable, domain).otherwise(F.lit(""))
+    listed = F.lit(" " + " ".join(suffixes or PUBLIC_SUFFIXES) + " ")
+
+    def domain(labels: Column) -> Column:
+        size = F.size(labels)
+        tails = F.transform(labels, lambda label, i: F.array_join(F.slice(labels, i + 1, size), "."))
+        known = F.filter(tails, lambda tail: listed.contains(F.concat(F.lit(" "), tail, F.lit(" "))))
+        # Without a listed suffix the last label is the suffix.
+        start = F.when(F.size(known) > 0, F.array_position(tails, F.get(known, F.lit(0)))).otherwise(size)
+        return F.when(start > 1, F.get(tails, (start - 2).cast("int"))).otherwise(F.lit(""))
+
+    def usable(host: Column) -> Column:
+        return host.rlike(VALID_HOST) & ~host.rlike("^[0-9.]+$")
+
+    return let(_host_of(value), lambda host: F.when(
+        usable(host), let(F.split(host, "\\."), domain)
+    ).otherwise(F.lit("")))
 
 
 def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: str) -> DataFrame:
@@ -222,11 +227,17 @@ PATH_BOARDS = [
 
 def detect_board(url: Column) -> Column:
     """struct(provider, board_id, careers_url) for a link to a known hiring board, else null."""
-    host = hostname(url)
-    segments = F.filter(F.split(_part(url, 4), "/"), lambda s: s != "")
+    return let(F.struct(
+        hostname(url).alias("host"), _part(url, 5).alias("query"),
+        F.filter(F.split(_part(url, 4), "/"), lambda s: s != "").alias("segments"),
+    ), _detected)
+
+
+def _detected(parts: Column) -> Column:
+    host, segments = parts["host"], parts["segments"]
     first = F.coalesce(F.try_url_decode(F.try_element_at(segments, F.lit(1))), F.lit(""))
     second = F.coalesce(F.try_element_at(segments, F.lit(2)), F.lit(""))
-    embeds = F.regexp_extract_all(_part(url, 5), F.lit("[?&]for=([^&]*)"), F.lit(1))
+    embeds = F.regexp_extract_all(parts["query"], F.lit("[?&]for=([^&]*)"), F.lit(1))
     embedded = F.when(F.size(embeds) == 1, F.coalesce(F.try_url_decode(embeds[0]), F.lit(""))).otherwise("")
     is_embed = (F.try_element_at(segments, F.lit(1)) == "embed") & (second == "job_board")
     greenhouse = host.isin("boards.greenhouse.io", "job-boards.greenhouse.io")

@@ -18,7 +18,7 @@ from ..functions.urls import (
     bare_host, canonical_url, detect_board, external_career_signals, hostname, is_https, normal_href,
     path_of, registrable_domain, resolve_url, same_site,
 )
-from ..plans.skew import spread_out
+from ..plans.skew import dim_join, spread_out
 
 LINK = "(?i)href\\s*=\\s*[\"']([^\"'#]+)[\"']"
 ANCHOR = "(?is)<a\\b([^>]*?)href\\s*=\\s*[\"']([^\"'#]+)[\"']([^>]*)>(.*?)</a>"
@@ -160,10 +160,12 @@ def board_candidates(links: DataFrame, site: str) -> DataFrame:
 
 def external_links(links: DataFrame) -> DataFrame:
     """Career-like links to other sites that are not on a known board."""
-    rows = links.withColumn("signals", external_career_signals(F.col("link")))
-    other = registrable_domain(F.col("link")) != registrable_domain(F.col("url"))
+    rows = links.withColumns({
+        "signals": external_career_signals(F.col("link")), "domain": registrable_domain(F.col("url")),
+    })
+    other = registrable_domain(F.col("link")) != F.col("domain")
     return rows.filter(other & (F.size("signals") > 0) & detect_board(F.col("link")).isNull()).select(
-        "page_id", hostname(F.col("link")).alias("host"), registrable_domain(F.col("url")).alias("domain"),
+        "page_id", hostname(F.col("link")).alias("host"), "domain",
         F.col("url").alias("page"), F.lit(1).cast("long").alias("occurrences"), "signals",
         F.regexp_replace("link", "[?#].*$", "").alias("url"),
     )
@@ -391,7 +393,7 @@ def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     rows = urls.withColumn("host", hostname(F.col("url"))).withColumn(
         "_path", F.concat(path_of(F.col("url")), F.regexp_extract("url", "(\\?[^#]*)", 1))
     )
-    hits = rows.join(rules_by_host, "host").filter(F.expr("_path RLIKE _pattern"))
+    hits = dim_join(rows, rules_by_host, ["host"]).filter(F.expr("_path RLIKE _pattern"))
     winner = hits.groupBy("url").agg(F.max(F.struct("_length", "allow")).alias("w"))
     return urls.join(winner, "url", "left").select(*urls.columns, F.coalesce("w.allow", F.lit(True)).alias("allowed"))
 
