@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..bindings import role, table, with_roles
 from ..operators import matching as op
 from .catalog import query
+from .skew import spread_out
 
 KEY = "trim(regexp_replace(replace(lower(strip_accents({0})), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -41,10 +42,16 @@ BEST = f"""
   WHERE nth = 1 AND (second IS NULL OR NOT score - second < 0.05)"""
 
 
+def both_sides(spark, sf_dir):
+    return (
+        spread_out(role(spark, sf_dir, "posting"), "posting_id"), spread_out(role(spark, sf_dir, "candidate"), "job_id"),
+    )
+
+
 @query("match_content", with_roles("posting", "candidate", then=f"""
   SELECT posting_id, job_id, CAST(floor(score * 10000 + 0.5) AS BIGINT) AS score_bps FROM ({BEST})"""))
 def match_content(spark, sf_dir):
-    found = op.content_matches(role(spark, sf_dir, "posting"), role(spark, sf_dir, "candidate"))
+    found = op.content_matches(*both_sides(spark, sf_dir))
     return found.select("posting_id", "job_id", F.floor(F.col("score") * 10000 + 0.5).alias("score_bps"))
 
 
@@ -61,7 +68,7 @@ def match_content(spark, sf_dir):
   UNION ALL SELECT posting_id, job_id, 'high_confidence', CAST(floor(score * 10000 + 0.5) AS BIGINT) FROM best
     WHERE posting_id NOT IN (SELECT posting_id FROM stable) AND posting_id NOT IN (SELECT posting_id FROM urls)""").replace("\n\n  , stable", ", stable").replace("\n  , stable", ", stable"))
 def match_entities(spark, sf_dir):
-    found = op.match_entities(role(spark, sf_dir, "posting"), role(spark, sf_dir, "candidate"))
+    found = op.match_entities(*both_sides(spark, sf_dir))
     return found.select(
         "posting_id", "job_id", "method", F.floor(F.col("score") * 10000 + 0.5).alias("score_bps")
     )
