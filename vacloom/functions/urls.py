@@ -316,14 +316,11 @@ def identifier_suffix(identifier: Column) -> Column:
 
 def url_variants(url: Column) -> Column:
     """A canonical URL and its form without an application suffix."""
-    base = canonical_url(url)
-    stripped_path = F.regexp_replace(
-        F.regexp_replace(path_of(base), "(?i)/(?:apply|application)$", ""), "(?i)/c/new$", ""
-    )
-    stripped = canonical_url(F.concat(
-        F.lower(_part(base, 1)), F.lit("://"), hostname(base), _port(base),
-        F.when(stripped_path == "", F.lit("/")).otherwise(stripped_path), _part(base, 5),
-    ))
-    return F.when(url.isNull() | (url == ""), F.array().cast("array<string>")).otherwise(
-        F.when(is_url(base), F.array_distinct(F.array(base, stripped))).otherwise(F.array(base))
+    def variants(base: Column) -> Column:
+        bare = F.regexp_replace(base, "(?i)/(?:apply|application)(\\?|$)", "$1")
+        bare = F.regexp_replace(bare, "(?i)/c/new(\\?|$)", "$1")
+        return F.array_distinct(F.array(base, F.regexp_replace(bare, "^([a-z]+://[^/?]+)(\\?|$)", "$1/$2")))
+
+    return F.when(F.coalesce(url, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+        let(canonical_url(url), variants)
     )

@@ -114,9 +114,9 @@ def promotions(
         .when(F.col("_source").isNull(), "canonical_source_required")
         .when(F.col("job_id").isNull(), "exact_current_role_not_found")
     )
-    status = F.when(F.col("_done").isNotNull(), "already_promoted").when(reason.isNull(), "promoted").otherwise("not_promotable")
-    return rows.select(
-        "signal_id", status.alias("status"), reason.alias("reason"), "company_id", F.when(status == "promoted", F.col("job_id")).alias("job_id")
+    status = F.when(F.col("_done").isNotNull(), "already_promoted").when(F.col("reason").isNull(), "promoted").otherwise("not_promotable")
+    return rows.withColumn("reason", reason).select(
+        "signal_id", status.alias("status"), "reason", "company_id", F.when(status == "promoted", F.col("job_id")).alias("job_id")
     )
 
 

@@ -27,8 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 MODULES = [
     "search_queries", "movement_queries", "score_queries", "snapshot_queries", "feed_queries",
-    "matching_queries", "refresh_queries", "text_queries", "payload_queries", "page_queries",
-    "registry_queries", "discovery_queries", "audit_queries", "coverage_queries", "phrase_queries",
+    "matching_queries", "refresh_queries", "text_queries", "page_queries",
+    "registry_queries", "discovery_queries", "audit_queries", "coverage_queries",
     "signal_queries", "stream_queries",
 ]
 

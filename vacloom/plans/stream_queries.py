@@ -1 +1,31 @@
-"""To be filled."""
+"""Events read as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..bindings import table
+from ..streaming import feed as op
+from .catalog import query
+
+
+def events(spark, sf_dir):
+    stream = op.event_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
+    kind = F.col("event_type")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "change_type", F.when(kind.isin("signup", "purchase"), "job_opened").when(kind == "error", "job_closed").otherwise("job_updated")
+    )
+
+
+@query("stream_deduplicated_feed", "SELECT event_id, user_id FROM events")
+def stream_deduplicated_feed(spark, sf_dir):
+    return op.run_available(op.deduplicated(events(spark, sf_dir), "event_id", "ts").select("event_id", "user_id"))
+
+
+@query("stream_day_movements", """
+  SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) AS opened,
+    count(*) FILTER (WHERE event_type = 'error') AS closed FROM events
+  WHERE date_trunc('day', ts) + INTERVAL '1' DAY <= (SELECT max(ts) FROM events) - INTERVAL '1' DAY GROUP BY 1, 2""")
+def stream_day_movements(spark, sf_dir):
+    moved = op.run_available(op.day_movements(events(spark, sf_dir), ["user_id"], "ts"))
+    return moved.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
