@@ -7,3 +7,13 @@ def test_flagship(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_sql_is_available_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    root = Path(__file__).resolve().parents[1]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0

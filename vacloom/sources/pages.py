@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classify import application_pool, role_family, us_eligible
 from ..functions.text import decode_entities, domain_title, plain_html, squeeze, strip_tags, summary
@@ -183,7 +184,7 @@ def _walk(value, found: list) -> None:
             found.append(value)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _posting_nodes(scripts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON of every JobPosting node in a page's scripts; null when one does not parse."""
     def nodes(texts):
