@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import chat, mixing, quality, secrets
+from vacloom.llm import binary, chat, mixing, packing, quality, secrets
 from vacloom.llm.common import table, word_count
 
 
@@ -19,6 +19,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binary.read_shards(binary.write_shards(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return secrets.secret_scan(docs, owner=F.col("source"), repository=F.col("lang"))
@@ -44,6 +54,8 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_packed_windows": op3_packed_windows,
+    "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op9_mixed_sources": op9_mixed_sources,
     "op10_prefix_targets": op10_prefix_targets,
