@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import binary, chat, mixing, packing, quality, secrets
+from vacloom.llm import binary, chat, knn, mixing, packing, quality, secrets
 from vacloom.llm.common import table, word_count
 
 
@@ -24,6 +24,10 @@ def op3_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = binary.read_shards(binary.write_shards(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -55,9 +59,20 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packed_windows": op3_packed_windows,
+    "op5_voronoi_knn": op5_voronoi_knn,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op9_mixed_sources": op9_mixed_sources,
     "op10_prefix_targets": op10_prefix_targets,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_voronoi_knn": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings),
+        s AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.w, d.w), p -> p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
