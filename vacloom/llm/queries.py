@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import binary, chat, knn, mixing, packing, quality, secrets
+from vacloom.llm import binary, chat, jaccard, knn, mixing, packing, quality, secrets
 from vacloom.llm.common import table, word_count
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Similarity(3, 90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     book = quality.ledger(docs)
@@ -57,6 +62,7 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
     "op3_packed_windows": op3_packed_windows,
     "op5_voronoi_knn": op5_voronoi_knn,
