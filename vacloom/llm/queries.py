@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import binary, chat, jaccard, knn, mixing, packing, quality, secrets
+from vacloom.llm import binary, chat, jaccard, knn, mixing, packing, quality, secrets, suffixes
 from vacloom.llm.common import table, word_count
 
 
@@ -43,6 +43,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(docs, owner=F.col("source"), repository=F.col("lang"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "n_words", "start", "end")
+
+
 def op9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", "source", word_count(docs["text"]).alias("_m_size"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_voronoi_knn": op5_voronoi_knn,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_mixed_sources": op9_mixed_sources,
     "op10_prefix_targets": op10_prefix_targets,
 }
