@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import binary, chat, jaccard, knn, mixing, packing, quality, secrets, suffixes
+from vacloom.llm import binary, chat, jaccard, knn, mixing, packing, pii, quality, secrets, suffixes
 from vacloom.llm.common import table, word_count
 
 
@@ -29,6 +29,11 @@ def op3_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
+
+
 def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
     "op3_packed_windows": op3_packed_windows,
+    "op4_personal_data": op4_personal_data,
     "op5_voronoi_knn": op5_voronoi_knn,
     "op6_token_files": op6_token_files,
     "op7_secret_scan": op7_secret_scan,
@@ -78,6 +84,7 @@ QUERIES = {
     "op10_prefix_targets": op10_prefix_targets,
 }
 ORACLE = {
+    "op4_personal_data": op4_personal_data,
     "op5_voronoi_knn": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings),
         s AS (
