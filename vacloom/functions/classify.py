@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import dim_join
 from .text import let, lookup
 from .urls import host_suffixes
 
@@ -214,7 +213,7 @@ def with_sector_override(df: DataFrame, domain: str, overrides: DataFrame, out:
     )
     keys = df.select(domain).distinct().select(domain, F.explode(host_suffixes(clean)).alias("_suffix"))
     listed = overrides.select(F.col("domain").alias("_suffix"), F.col("sector").alias("_sector"))
-    best = dim_join(keys, listed, ["_suffix"]).groupBy(domain).agg(
+    best = keys.join(listed, ["_suffix"]).groupBy(domain).agg(
         F.max_by("_sector", F.struct(F.length("_suffix"), F.col("_suffix"))).alias(out)
     )
     return df.join(best, domain, "left")

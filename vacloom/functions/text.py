@@ -229,7 +229,7 @@ def domain_title(domain: Column) -> Column:
     """Readable name from the first label of a domain."""
     parts = F.split(F.split(domain, "\\.")[0], "[-_]")
     return F.array_join(
-        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))),
+        F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))),
         " ",
     )
 

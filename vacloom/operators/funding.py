@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import funding_id
 from ..functions.text import plain_words
 from ..functions.urls import bare_host, host_suffixes, is_https, normal_href, registrable_domain, resolve_url
-from ..plans.skew import dim_join, spread_out, top_in_group
+from ..plans.skew import top_in_group
 
 # Wording of a funding announcement, look-back and excluded hosts.
 ACTION = "(?i)\\b(?:raises?|raised|secures?|secured|closes?|closed|lands?|landed|announces?|announced)\\b"
@@ -34,7 +34,7 @@ def _capitalised(text: Column) -> Column:
     """First letter of every word in upper case, the rest unchanged."""
     pieces = F.regexp_extract_all(text, F.lit("\\w+|\\W+"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.concat(
-        F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20)
+        F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))
     )), "")
 
 
@@ -83,7 +83,7 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFra
         "_words", F.size(F.split("gram", " "))
     )
     lengths = named.select("_words").distinct()
-    words = spread_out(texts, key).select(key, F.split(plain_words(F.col(text)), " ").alias("w"))
+    words = texts.select(key, F.split(plain_words(F.col(text)), " ").alias("w"))
     shapes = lengths.agg(F.sort_array(F.collect_set("_words")).alias("_shapes"))
     sized = words.withColumn("_one", F.lit(1)).join(shapes.withColumn("_one", F.lit(1)), "_one").drop("_one")
     grams = sized.select(key, F.explode(F.array_distinct(F.flatten(F.transform(
@@ -92,14 +92,14 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFra
             F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")
         )).otherwise(F.array().cast("array<string>")),
     )))).alias("gram"))
-    return dim_join(grams, named.select("gram", "company_id"), ["gram"]).select(key, "company_id").distinct()
+    return grams.join(named.select("gram", "company_id"), ["gram"]).select(key, "company_id").distinct()
 
 
 def official_hosts(urls: DataFrame, url: str, companies: DataFrame) -> DataFrame:
     """Addresses on a company's own domain or below it: (url, company_id)."""
     suffixes = urls.select(url).distinct().select(url, F.explode(host_suffixes(bare_host(F.col(url)))).alias("_host"))
     domains = companies.select("company_id", F.regexp_replace(F.lower("domain"), "^www\\.", "").alias("_host"))
-    return dim_join(suffixes, domains, ["_host"]).select(url, "company_id")
+    return suffixes.join(domains, ["_host"]).select(url, "company_id")
 
 
 def announcements(pages: DataFrame, companies: DataFrame, as_of: str) -> DataFrame:
@@ -117,7 +117,7 @@ def announcements(pages: DataFrame, companies: DataFrame, as_of: str) -> DataFra
     official = usable.filter("source_kind = 'official'")
     by_name = reputable.join(mentions(reputable, "page_id", "combined", companies), "page_id")
     by_host = official.join(official_hosts(official, "url", companies), "url")
-    matched = dim_join(by_name.unionByName(by_host), companies.select("company_id", F.col("name").alias("company_name")), ["company_id"])
+    matched = by_name.unionByName(by_host).join(companies.select("company_id", F.col("name").alias("company_name")), ["company_id"])
     label = funding_label(F.col("combined"))
     href = normal_href(F.col("url"))
     rows = matched.select(
@@ -155,7 +155,7 @@ def outside_websites(pages: DataFrame) -> DataFrame:
         F.filter(scripts, lambda s: F.coalesce(F.get_json_object(s, "$['@type']"), F.lit("")).rlike("(?i)organization|corporation")),
         lambda s: F.get_json_object(s, "$.url"),
     )
-    found = spread_out(pages, "page_id").select("page_id", "url", F.explode(F.concat(F.array_compact(organisations), hrefs)).alias("href"))
+    found = pages.select("page_id", "url", F.explode(F.concat(F.array_compact(organisations), hrefs)).alias("href"))
     link = resolve_url(F.col("href"), F.col("url"))
     rows = found.select("page_id", "url", link.alias("link")).filter(F.col("link").startswith("https://"))
     host = bare_host(F.col("link"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import kept_sector, sector_or_null
 from ..functions.text import round_half_up, slug
-from ..plans.skew import dim_join, top_in_group
+from ..session import durable
+from ..plans.skew import top_in_group
 
 OPENED, CLOSED, FUNDED = "job_opened", "job_closed", "funding_announced"
 ROLE_MOVES = [OPENED, CLOSED]
@@ -106,13 +107,9 @@ def newest_per_day(changes: DataFrame) -> DataFrame:
 
 
 def movement_evidence(companies: DataFrame, jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per counted opening or closing with its company and sector."""
-    owned = dim_join(
-        newest_per_day(changes).join(jobs.select("job_id", "company_id", "title", "canonical_url"), "job_id"),
-        companies.select("company_id", "slug", "name", "hiring_score", published_sector().alias("sector")),
-        ["company_id"],
-    )
-    return owned
+    """One row per counted opening or closing with its company and sector, computed once for all that read it."""
+    owned = newest_per_day(changes).join(jobs.select("job_id", "company_id", "title", "canonical_url"), "job_id").join(companies.select("company_id", "slug", "name", "hiring_score", published_sector().alias("sector")), ["company_id"])
+    return durable(owned)
 
 
 def role_summaries(evidence: DataFrame, keys: list[str], shown: int = 3) -> DataFrame:
@@ -125,18 +122,12 @@ def role_summaries(evidence: DataFrame, keys: list[str], shown: int = 3) -> Data
 def day_movements(evidence: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of one movement per key set. Evidence stays a table of its own."""
     opened, closed = F.col("change_type") == OPENED, F.col("change_type") == CLOSED
-    urls = evidence.select(*keys, "source_url").distinct().groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("source_url_count")
-    )
-    owners = evidence.select(*keys, "company_id").distinct().groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("company_count")
-    ) if "company_id" not in keys else None
     counts = evidence.groupBy(*keys).agg(
-        F.count_if(opened).alias("opened"), F.count_if(closed).alias("closed"),
-        F.count(F.lit(1)).alias("evidence_count"),
+        F.count_if(opened).alias("opened"), F.count_if(closed).alias("closed"), F.count(F.lit(1)).alias("evidence_count"),
+        F.count_distinct("source_url").alias("source_url_count"), F.count_distinct("company_id").alias("company_count"),
     )
-    joined = counts.join(urls, keys).join(role_summaries(evidence, keys), keys)
-    joined = joined.join(owners, keys) if owners is not None else joined.withColumn("company_count", F.lit(1).cast("long"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    joined = counts.alias("c").join(role_summaries(evidence, keys).alias("t"), same).select("c.*", "t._titles")
     more = F.col("evidence_count") - 3
     shown = F.concat(
         F.col("_titles"),
@@ -197,11 +188,7 @@ def funding_movements(companies: DataFrame, changes: DataFrame) -> DataFrame:
         .groupBy("id").agg(F.max(F.struct("occurred_at", "entity_id", "title", "description", "source_url")).alias("e"))
         .select("id", "e.*").withColumnRenamed("entity_id", "company_id")
     )
-    owned = dim_join(
-        events,
-        companies.select("company_id", "slug", "name", "hiring_score", published_sector().alias("sector")),
-        ["company_id"],
-    )
+    owned = events.join(companies.select("company_id", "slug", "name", "hiring_score", published_sector().alias("sector")), ["company_id"])
     zero = F.lit(0).cast("long")
     return owned.withColumns({
         "group": F.lit("company"), "type": F.lit("funding"), "day": F.to_date("occurred_at"),
@@ -283,11 +270,7 @@ def raw_movements(companies: DataFrame, jobs: DataFrame, changes: DataFrame) ->
     with_jobs = changes.join(job_side, ["entity_type", "entity_id"], "left").withColumn(
         "company_id", F.coalesce("_job_company", "entity_id")
     )
-    owned = dim_join(
-        with_jobs,
-        companies.select("company_id", "slug", "hiring_score", published_sector().alias("sector"), F.lit(True).alias("_known")),
-        ["company_id"], "left",
-    )
+    owned = with_jobs.join(companies.select("company_id", "slug", "hiring_score", published_sector().alias("sector"), F.lit(True).alias("_known")), ["company_id"], "left")
     known, kind, has_job = F.coalesce("_known", F.lit(False)), F.col("change_type"), F.col("_job_company").isNotNull()
     one = F.lit(1).cast("long")
     zero = F.lit(0).cast("long")
@@ -322,7 +305,7 @@ def homepage_changes(
         "company_id", F.when(F.col("entity_type") == "company", F.col("entity_id")).otherwise(F.col("_job_company"))
     )
     names = companies.select("company_id", F.col("name").alias("company_name"))
-    return dim_join(keyed.drop("_job_company"), names, ["company_id"], "left").orderBy(
+    return keyed.drop("_job_company").join(names, ["company_id"], "left").orderBy(
         F.col("occurred_at").desc(), F.col("id").desc()
     )
 

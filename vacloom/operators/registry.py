@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.classify import directory_class
 from ..functions.text import squeeze
 from ..functions.urls import bare_host, hostname, is_https, path_of, registrable_domain
-from ..plans.skew import dim_join
 
 # Accepted states of registry records.
 PERMISSIONS = ["permitted", "manual_only", "awaiting_permission", "prohibited"]
@@ -109,7 +108,7 @@ def resolve_domains(values: DataFrame, column: str, entries: DataFrame, aliases:
     rows = values.withColumn("_d", registrable_domain(F.col(column)))
     direct = entries.select(F.col("domain").alias("_d"), F.col("domain").alias("_direct")).distinct()
     via = aliases.groupBy(F.col("alias_domain").alias("_d")).agg(F.min("domain").alias("_via"))
-    joined = dim_join(dim_join(rows, direct, ["_d"], "left"), via, ["_d"], "left")
+    joined = rows.join(direct, ["_d"], "left").join(via, ["_d"], "left")
     return joined.withColumn("canonical_domain", F.coalesce("_direct", "_via", "_d")).drop("_d", "_direct", "_via")
 
 

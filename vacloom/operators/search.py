@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import role_family_name
 from ..functions.text import employment_label
-from ..plans.skew import dim_join, rank_in_group, top_in_group
+from ..plans.skew import rank_in_group, top_in_group
 
 SORTS = [
     "signal", "title", "title_desc", "company", "company_desc", "sector", "dept", "loc",
     "comp_low", "comp_high", "recent", "oldest",
 ]
 SEARCHED = ["title", "name", "role_family", "location", "employment_type", "sector", "industry"]
-RANK_LIMIT = 1000
 
 
 @dataclass(frozen=True)
@@ -115,7 +114,7 @@ def matching_jobs(
             raise ValueError("investor filters need the bridge and investor tables")
         known = held_by(known, bridge, investors, spec.investor)
     columns = ["company_id", "slug", "name", "sector", "industry", "hiring_score"]
-    joined = dim_join(kept(jobs, job_predicates(spec)), known.select(*columns), ["company_id"])
+    joined = kept(jobs, job_predicates(spec)).join(known.select(*columns), ["company_id"])
     return joined.filter(any_like(SEARCHED, spec.q)) if spec.q else joined
 
 
@@ -152,9 +151,16 @@ def in_company_order(by_title: bool = False) -> list[Column]:
     return newest + ([F.col("title").asc()] if by_title else []) + [F.col("job_id").asc()]
 
 
+ID_RANGE = 4096  # job ids of one instant that are ranked together
+
+
 def signal_ranked(found: DataFrame, by_title: bool = False) -> DataFrame:
-    """Rank of every job inside its company, one day of one company per task at most."""
-    slices = [(F.to_date("first_seen_at"), True), (F.hour("first_seen_at"), True)]
+    """Rank of every job inside its company, in parts of one instant and a range of ids at most."""
+    slices = [(F.to_date("first_seen_at"), True), (F.col("first_seen_at"), True)]
+    if by_title:
+        slices.append((F.col("title"), False))
+    if dict(found.dtypes)["job_id"] in {"int", "bigint"}:
+        slices.append((F.floor(F.col("job_id") / ID_RANGE), False))
     return rank_in_group(found, ["company_id"], in_company_order(by_title), slices)
 
 
@@ -163,10 +169,8 @@ def signal_page(found: DataFrame, need: int, by_title: bool = False) -> DataFram
 
     A row on the page has at most ``need`` rows of its company in front of it.
     """
-    if need <= RANK_LIMIT:
-        order = in_company_order(by_title)
-        return top_in_group(found, ["company_id"], order, need).withColumn("rn", F.col("_rank").cast("long")).drop("_rank")
-    return signal_ranked(found, by_title).filter(F.col("rn") <= need)
+    first = top_in_group(found, ["company_id"], in_company_order(by_title), need)
+    return first.withColumn("rn", F.col("_rank").cast("long")).drop("_rank")
 
 
 def search_page(found: DataFrame, spec: SearchSpec, by_title: bool = False) -> DataFrame:

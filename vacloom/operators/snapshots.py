@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import FNV_OFFSET, FNV_PRIME, MASK32
 from ..functions.text import round_half_up
-from ..plans.skew import dim_join
 
 # A snapshot is held back when a source of at least this many open identities
 # loses at least this many and more than this share of them.
@@ -33,7 +32,7 @@ def diff_identities(
         F.when(F.col("_before").isNull(), F.lit("new")).when(F.col("_now").isNull(), F.lit("missing"))
         .otherwise(F.lit("retained"))
     )
-    scoped = dim_join(both, fetched.select(*scope).distinct(), scope, "left_semi")
+    scoped = both.join(fetched.select(*scope).distinct(), scope, "left_semi")
     return scoped.select(*keys, state.alias("state"))
 
 
@@ -65,7 +64,7 @@ def assess(diff: DataFrame, fetched: DataFrame, scope: list[str]) -> DataFrame:
 def frozen_members(diff: DataFrame, assessed: DataFrame, scope: list[str], identity: str = "external_id") -> DataFrame:
     """Observed, missing and existing members of every held-back snapshot, one row per role."""
     held = assessed.filter("status = 'quarantined'").select(*scope)
-    rows = dim_join(diff, held, scope, "left_semi")
+    rows = diff.join(held, scope, "left_semi")
     kinds = F.array_compact(F.array(
         F.when(F.col("state") != "missing", F.lit("observed")),
         F.when(F.col("state") == "missing", F.lit("missing")),
@@ -77,7 +76,7 @@ def frozen_members(diff: DataFrame, assessed: DataFrame, scope: list[str], ident
 def closing_identities(diff: DataFrame, assessed: DataFrame, scope: list[str]) -> DataFrame:
     """Missing identities of accepted snapshots."""
     accepted = assessed.filter("status = 'accepted'").select(*scope)
-    return dim_join(diff.filter("state = 'missing'"), accepted, scope, "left_semi").drop("state")
+    return diff.filter("state = 'missing'").join(accepted, scope, "left_semi").drop("state")
 
 
 def set_digest(members: DataFrame, scope: list[str], identity: str = "external_id") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..bindings import role, table, with_roles
 from ..operators import matching as op
 from .catalog import query
-from .skew import spread_out
 
 KEY = "trim(regexp_replace(replace(lower(strip_accents({0})), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -44,7 +43,7 @@ BEST = f"""
 
 def both_sides(spark, sf_dir):
     return (
-        spread_out(role(spark, sf_dir, "posting"), "posting_id"), spread_out(role(spark, sf_dir, "candidate"), "job_id"),
+        role(spark, sf_dir, "posting"), role(spark, sf_dir, "candidate"),
     )
 
 

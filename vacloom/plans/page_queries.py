@@ -39,10 +39,9 @@ def page_titles(spark, sf_dir):
 
 @query("page_text", f"SELECT page_id, length({CLEAN.format('html')}) AS characters, md5({CLEAN.format('html')}) AS digest FROM pages")
 def page_text(spark, sf_dir):
-    from ..plans.skew import spread_out
-
+    
     text = t.strip_tags(F.col("html"))
-    return spread_out(pages(spark, sf_dir), "page_id").select("page_id", text.alias("text")).select(
+    return pages(spark, sf_dir).select("page_id", text.alias("text")).select(
         "page_id", F.length("text").cast("long").alias("characters"), F.md5("text").alias("digest")
     )
 

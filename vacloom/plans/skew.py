@@ -9,67 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None when the session cannot tell."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        return int(plan.stats().sizeInBytes().toString())
-    except Exception:
-        return None
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    text = str(raw).lower().rstrip("b")
-    units = {"k": 1024, "m": 1024**2, "g": 1024**3}
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and 0 <= size <= broadcast_limit(df)
-
-
-def salted_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    salts: int = DEFAULT_SALTS,
-    spread: list[str] | None = None,
-) -> DataFrame:
-    """Equi-join whose hot keys are spread over ``salts`` tasks.
-
-    Fact rows take a salt from a hash of their own columns, dimension rows are repeated once
-    per salt. Valid for inner, left, left_semi and left_anti with facts on the left.
-    """
-    if how not in {"inner", "left", "left_semi", "left_anti"}:
-        raise ValueError(f"salted_join does not support {how}")
-    columns = spread or [c for c in facts.columns if c not in on] or facts.columns
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    repeated = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def dim_join(
-    facts: DataFrame,
-    dims: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    salts: int = DEFAULT_SALTS,
-    spread: list[str] | None = None,
-) -> DataFrame:
-    """Fact-to-dimension join: Spark's own broadcast when the size is known to fit, else salted."""
-    if fits_broadcast(dims):
-        return facts.join(dims, on, how)
-    return salted_join(facts, dims, on, how, salts, spread)
-
-
 def rank_in_group(
     df: DataFrame,
     keys: list[str],
@@ -108,31 +47,27 @@ def rank_in_group(
 
 
 def group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Size of a row's group, counted with map-side combine and joined back salted."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return dim_join(df, sizes, keys, "inner")
+    """Size of a row's group, counted with map-side combine and joined back by key.
 
+    Keys of the counts are unique, so a hot key is split by the adaptive skew join.
+    """
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
 
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work before heavy per-row expressions when the input has few splits.
 
-    A table of many files passes through untouched; a single large file would otherwise be
-    processed by one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+PARTS = 64
 
 
 def top_in_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows per key.
+    """First ``k`` rows per key, in two levels so that a hot key never meets whole in one task.
 
-    Spark turns the filter on the rank into a per-task group limit before the shuffle, so at
-    most ``k`` rows per key and map task travel.
+    Each hash part of a key keeps its first ``k``; Spark applies that limit per task before the
+    shuffle. The parts' rows, ``k`` times their number at most, are then ranked by key.
     """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)).cast("int")
+    first = Window.partitionBy(*keys, "_part").orderBy(*order)
+    parts = df.withColumn("_part", part).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k)
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k)
+    return parts.drop("_part").withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k)
 
 
 def first_in_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -19,7 +19,7 @@ def events(spark, sf_dir):
 
 @query("stream_deduplicated_feed", "SELECT event_id, user_id FROM events")
 def stream_deduplicated_feed(spark, sf_dir):
-    return op.run_available(op.deduplicated(events(spark, sf_dir), "event_id", "ts").select("event_id", "user_id"))
+    return op.append_new(events(spark, sf_dir).select("event_id", "user_id"), "event_id", op.run_folder(spark))
 
 
 @query("stream_day_movements", """

@@ -10,7 +10,6 @@ from ..functions import hashing as h
 from ..functions import text as t
 from ..functions import urls as u
 from ..operators import discovery
-from ..plans.skew import spread_out
 from .catalog import query
 
 KEY = "trim(regexp_replace(replace(lower(strip_accents({0})), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
@@ -20,7 +19,7 @@ KEY = "trim(regexp_replace(replace(lower(strip_accents({0})), '&', ' and '), '[^
   SELECT doc_id, md5({KEY.format('text')}) AS digest,
     len(list_distinct(list_filter(string_split({KEY.format('text')}, ' '), lambda w: length(w) > 1))) AS tokens FROM documents""")
 def document_text_keys(spark, sf_dir):
-    keyed = spread_out(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", t.text_key(F.col("text")).alias("k"))
+    keyed = table(spark, sf_dir, "documents").select("doc_id", t.text_key(F.col("text")).alias("k"))
     return keyed.select("doc_id", F.md5("k").alias("digest"), F.size(t.token_set(F.col("k"))).cast("long").alias("tokens"))
 
 
@@ -28,7 +27,7 @@ def document_text_keys(spark, sf_dir):
   SELECT doc_id, CASE WHEN body <> '' THEN substr(body, 1, 220) ELSE 'Canonical posting for ' || source || '.' END AS summary
   FROM (SELECT doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents)""")
 def document_summaries(spark, sf_dir):
-    return spread_out(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", t.summary(F.col("source"), F.col("text")).alias("summary")
     )
 

@@ -34,12 +34,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the session names none
-    (local tests) is a private one used.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session that names none
+    (as in tests) gets one of its own.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; an error on a cluster that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -19,7 +19,6 @@ from ..functions.urls import (
     bare_host, canonical_url, detect_board, external_career_signals, hostname, is_https, normal_href,
     path_of, registrable_domain, resolve_url, same_site,
 )
-from ..plans.skew import dim_join, spread_out
 
 LINK = "(?i)href\\s*=\\s*[\"']([^\"'#]+)[\"']"
 ANCHOR = "(?is)<a\\b([^>]*?)href\\s*=\\s*[\"']([^\"'#]+)[\"']([^>]*)>(.*?)</a>"
@@ -27,7 +26,7 @@ ANCHOR = "(?is)<a\\b([^>]*?)href\\s*=\\s*[\"']([^\"'#]+)[\"']([^>]*)>(.*?)</a>"
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Distinct absolute https links of every page."""
-    found = spread_out(pages, "page_id").select(
+    found = pages.select(
         "page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("href")
     )
     absolute = resolve_url(F.col("href"), F.col("url"))
@@ -77,7 +76,7 @@ def parsed_time(text: Column) -> Column:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """Title, description and publication time by preference order of their sources."""
-    metas = spread_out(pages, "page_id").withColumn("_m", meta_map(F.col("html")))
+    metas = pages.withColumn("_m", meta_map(F.col("html")))
     title = F.regexp_extract("html", "(?is)<title\\b[^>]*>(.*?)</title>", 1)
     stated = F.regexp_extract("html", "(?i)[\"']datePublished[\"']\\s*:\\s*[\"']([^\"']+)[\"']", 1)
     published = F.coalesce(
@@ -99,7 +98,7 @@ def anchors(pages: DataFrame) -> DataFrame:
         return F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(index))
 
     zipped = F.arrays_zip(group(1).alias("before"), group(2).alias("href"), group(3).alias("after"), group(4).alias("inner"))
-    rows = spread_out(pages, "page_id").select("page_id", "url", F.posexplode(zipped).alias("position", "a"))
+    rows = pages.select("page_id", "url", F.posexplode(zipped).alias("position", "a"))
     return rows.select(
         "page_id", "url", "position", resolve_url(F.col("a.href"), F.col("url")).alias("link"),
         strip_tags(F.col("a.inner")).alias("label"),
@@ -207,7 +206,7 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
     """
     pattern = "(?is)<script\\b[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
     scripts = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    found = spread_out(pages, "page_id").withColumn("_n", _posting_nodes(scripts))
+    found = pages.withColumn("_n", _posting_nodes(scripts))
     return found.withColumn("complete", F.col("_n").isNotNull()).withColumn(
         "node", F.explode_outer("_n")
     ).drop("_n")
@@ -303,7 +302,7 @@ def semantic_postings(pages: DataFrame, minimum_body: int = 250) -> DataFrame:
     rest = F.when(head != "", F.substr(F.col("html"), F.length(head) + 1)).otherwise(F.col("html"))
     classed = F.regexp_extract(
         "html", "(?is)<[a-z][a-z0-9]*\\b[^>]*class\\s*=\\s*[\"'](?:[^\"']*\\s)?(?:job-post-location|job-location)(?:\\s[^\"']*)?[\"'][^>]*>([^<]*)", 1)
-    rows = spread_out(pages, "page_id").select(
+    rows = pages.select(
         "page_id", "url", plain_html(F.regexp_extract("html", "(?is)<h1\\b[^>]*>(.*?)</h1>", 1)).alias("title"),
         plain_html(rest).alias("description"), plain_html(classed).alias("_classed"),
         apply_link(F.col("html"), F.col("url")).alias("apply_url"),
@@ -394,7 +393,7 @@ def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     rows = urls.withColumn("host", hostname(F.col("url"))).withColumn(
         "_path", F.concat(path_of(F.col("url")), F.regexp_extract("url", "(\\?[^#]*)", 1))
     )
-    hits = dim_join(rows, rules_by_host, ["host"]).filter(F.expr("_path RLIKE _pattern"))
+    hits = rows.join(rules_by_host, ["host"]).filter(F.expr("_path RLIKE _pattern"))
     winner = hits.groupBy("url").agg(F.max(F.struct("_length", "allow")).alias("w"))
     return urls.join(winner, "url", "left").select(*urls.columns, F.coalesce("w.allow", F.lit(True)).alias("allowed"))
 
@@ -402,4 +401,4 @@ def allowed_urls(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
 def pool_pages(pages: DataFrame) -> DataFrame:
     """Pages that only invite general applications."""
     title = strip_tags(F.regexp_extract("html", "(?is)<title\\b[^>]*>(.*?)</title>", 1))
-    return spread_out(pages, "page_id").filter(application_pool(title, strip_tags(F.col("html")))).select("page_id")
+    return pages.filter(application_pool(title, strip_tags(F.col("html")))).select("page_id")

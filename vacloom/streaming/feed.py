@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
 
 
-def deduplicated(events: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
-    """One event per id; repeats arriving within the delay are dropped."""
-    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def append_new(events: DataFrame, key: str, folder: str) -> DataFrame:
+    """Run what is available of a stream into a table with one row per key, however late a repeat comes.
+
+    Each batch drops its own repeats and those the table holds already. A batch that is run again after a
+    failure writes to its own part of the table again, so nothing is stored twice.
+    """
+    spark, schema = events.sparkSession, events.schema
+
+    def store(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates([key])
+        if number:
+            known = batch.sparkSession.read.schema(schema).parquet(*[f"{folder}/table/batch={n}" for n in range(number)])
+            new = new.join(known.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    started = events.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/table")
 
 
 def day_movements(events: DataFrame, keys: list[str], at: str, delay: str = "1 day") -> DataFrame:
@@ -43,8 +59,7 @@ def enriched(events: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFr
 
 def run_folder(spark: SparkSession) -> str:
     """A new folder for one run below the shared folder the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame) -> DataFrame:
