@@ -5,15 +5,15 @@ shingles with any partner, and order shingles by hash; then two linked sets shar
 first ``n - c(n) + k`` of each.
 
 Small sets list all pairs (subsets of fixed size two) of their first ``n - c(n) + 2`` shingles; linked small
-sets share such a pair. Large sets are found by scanning inverted lists: each large set, and each small set
-near enough to the boundary to link with one, posts a pool of its first shingles. Lists of one are dropped,
-and a set whose pool then has too few shared shingles has no partner. Of the others only the rarest are
-scanned, as many as the overlap that two pools must have allows to leave out. The boundary between small
-and large is the size at which the cost, counted over the histogram of all sizes, is least.
+sets share such a pair. Large sets, and small ones near enough to the boundary to link with one, post a pool
+of their first shingles to inverted lists; a set whose pool has too few shared shingles has no partner. The
+boundary between small and large is the size at which the cost, counted over the histogram of all sizes, is
+least. The whole sets of those that are left are read, and of their inverted lists only the rarest are
+scanned, as many as the overlap with a partner allows to leave out.
 
-A bucket (a pair or a list) links its members first to its smallest member; what that leaves apart is then
-compared across the parts that are still separate. All candidates are verified on whole sets, and links are
-complete for components: a pair goes unverified only if its ends are connected already.
+Sets that a list brings together are verified exactly, block against block: intersections are counted by
+matrix products in memory of a fixed size, and of the links only a spanning forest leaves a task. So a group
+of thousands of near copies makes no rows for its pairs, and no link between parts is lost.
 
 Defined results: a null, empty or blank text has an empty set and no links; a text shorter than k words is
 one shingle; repeated rows and null ids are documents of their own (a component is named by its smallest
@@ -26,15 +26,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacloom.llm import shingles
-from vacloom.llm.common import durable, written
+from vacloom.llm.common import durable, numbered, written
 from vacloom.llm.components import components
 
+BLOCK = 256  # nodes that are verified together
 SCAN_COST = 3.0  # what a posting in an inverted list costs, in rows of enumerated subsets
 
 
@@ -55,7 +57,7 @@ class Similarity:
 
     def margin(self, n):
         """How many shared shingles a pool is made to hold."""
-        return np.minimum((self.spare(n) + 1) // 2, self.common(n))
+        return np.minimum(self.spare(n), self.common(n))
 
     def pool(self, n):
         return n - self.common(n) + self.margin(n)
@@ -103,8 +105,8 @@ def described(docs: DataFrame, how: Similarity, doc_id: str, text: str) -> DataF
     return written(rows.mapInArrow(describe, f"row_id long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, first binary"), "shingles")
 
 
-def _unpacked(nodes: DataFrame, keys_of) -> DataFrame:
-    """(key, node, n) for every key that ``keys_of(first shingles, n)`` gives a node."""
+def _unpacked(nodes: DataFrame, packed: str, keys_of) -> DataFrame:
+    """(key, node, n) for every key that ``keys_of(shingles, n)`` gives a node."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -117,11 +119,11 @@ def _unpacked(nodes: DataFrame, keys_of) -> DataFrame:
                         pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, times)), pa.array(np.repeat(n, times))],
                         ["key", "node", "n"])
 
-    return nodes.select("node", "n", "first").mapInArrow(unpack, "key long, node long, n long")
+    return nodes.select("node", "n", packed).mapInArrow(unpack, "key long, node long, n long")
 
 
-def buckets(nodes: DataFrame, how: Similarity, small: int) -> DataFrame:
-    """(key, node, n): members of every pair of shingles and of every scanned list that has two or more."""
+def survivors(nodes: DataFrame, how: Similarity, small: int) -> DataFrame:
+    """Nodes that share a pair of shingles (small), or enough of their pool (large), with others."""
     def subsets(first: np.ndarray, n: int) -> np.ndarray:
         prefix = first[: min(n, int(how.spare(n)) + 1)]
         i, j = np.triu_indices(len(prefix), 1)
@@ -130,66 +132,112 @@ def buckets(nodes: DataFrame, how: Similarity, small: int) -> DataFrame:
     def pool(first: np.ndarray, n: int) -> np.ndarray:
         return first[: int(how.pool(n))]
 
-    everyone = Window.partitionBy("key")
-    light = _unpacked(nodes.filter(F.col("n") <= small), subsets).withColumn("members", F.count(F.lit(1)).over(everyone))
-    light = light.filter("members > 1").select("key", "node", "n")
-    posted = _unpacked(nodes.filter(F.col("n") >= int(how.common(small + 1))), pool)
-    shared = posted.withColumn("members", F.count(F.lit(1)).over(everyone)).filter("members > 1")
-    lists = shared.groupBy("node", "n").agg(F.collect_list(F.struct("members", "key")).alias("own"))
+    light = _shared(_unpacked(nodes.filter(F.col("n") <= small), "first", subsets)).select("node").distinct()
+    heavy = _shared(_unpacked(nodes.filter(F.col("n") >= int(how.common(small + 1))), "first", pool))
     partner = _common_sql("n", how)
-    margin = f"least(({partner} - {_common_sql(partner, how)} + 2) div 2, {_common_sql(partner, how)})"
-    scanned = F.size("own") - F.expr(margin) + 1
-    rare = lists.withColumn("scan", scanned.cast("int")).filter("scan > 0").select(
-        "node", "n", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.col("scan"))).alias("e"))
-    heavy = rare.select(F.xxhash64("e.key").alias("key"), "node", "n")
-    return light.unionAll(heavy)
+    margin = f"least({partner} - {_common_sql(partner, how)} + 1, {_common_sql(partner, how)})"
+    heavy = heavy.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.expr(margin)).select("node")
+    return light.unionAll(heavy).distinct()
 
 
-def _common_sql(n: str, how: Similarity) -> str:
-    return f"((({n}) * {how.num} + {how.den - 1}) div {how.den})"
+def _shared(rows: DataFrame) -> DataFrame:
+    """Keys held by more than one node, with the number of their members."""
+    return rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1")
 
 
-def _near(pairs: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs (a, b, na, nb) whose sizes allow a link, each once, a below b."""
-    low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    ordered = pairs.filter((F.col("a") != F.col("b")) & (low * how.den >= high * how.num))
-    return ordered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def scanned_lists(sets: DataFrame, how: Similarity) -> DataFrame:
+    """(key, node): for each node its rarest inverted lists, so many that no partner is in none of them.
 
+    Of n shingles all but ``c(n) - 1`` would have to be scanned, rarest first; those that nobody else holds
+    come first and need no scan. A node with more of them than may differ has no partner.
+    """
+    rows = _shared(_unpacked(sets.select("node", "n", "set"), "set", lambda own, n: own))
+    lists = rows.groupBy("node", "n").agg(F.collect_list(F.struct("members", "key")).alias("own"))
+    lists = lists.withColumn("scan", (F.size("own") - F.expr(_common_sql("n", how)) + 1).cast("int")).filter("scan > 0")
+    return lists.select("node", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.col("scan"))).alias("e")).select(F.col("e.key").alias("key"), "node")
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """Those of the pairs whose whole sets are similar enough."""
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(how.den * common >= how.num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return durable(both.mapInArrow(verify, "a long, b long"))
+def _common_sql(n: str, how: Similarity) -> str:
+    return f"((({n}) * {how.num} + {how.den - 1}) div {how.den})"
+
+
+def blocks_of(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block), and the pairs of blocks (low, high) whose members share a list.
+
+    Nodes that lists connect form clusters. Small clusters are put together to blocks by a hash; a large one
+    is cut into blocks by rank, and two of its blocks meet only if a list has members in both.
+    """
+    hub = Window.partitionBy("key")
+    pairs = lists.withColumn("b", F.min("node").over(hub)).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    clusters = components(pairs).withColumnRenamed("label", "cluster")
+    sized = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    small = sized.filter(F.col("size") < BLOCK // 4)
+    parts = max(1, -(-small.count() // (BLOCK // 2)))
+    small = small.select("node", F.xxhash64(F.lit(0), F.pmod(F.xxhash64("cluster"), F.lit(parts))).alias("block"))
+    large = numbered(sized.filter(F.col("size") >= BLOCK // 4), ["cluster"], ["node"], "rank")
+    large = large.select("node", F.xxhash64(F.lit(1), "cluster", F.floor(F.col("rank") / BLOCK)).alias("block"))
+    placed = durable(small.unionAll(large))
+    here = lists.join(placed, "node").select("key", "block").distinct()
+    meet = here.select("key", F.col("block").alias("low")).join(here.select("key", F.col("block").alias("high")), "key").filter("low <= high")
+    return placed, meet.select("low", "high").distinct()
+
+
+def _linked_pairs(sizes: np.ndarray, tokens: np.ndarray, owners: np.ndarray, how: Similarity) -> np.ndarray:
+    """Which of the sets are linked, from intersections counted a few thousand shingles at a time."""
+    m = len(sizes)
+    _, place, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    held = times[place] > 1
+    column = (np.cumsum(times > 1) - 1)[place[held]]
+    order = np.argsort(column, kind="stable")
+    column, owner, common = column[order], owners[held][order], np.zeros((m, m), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        i, j = np.searchsorted(column, [low, low + 2048])
+        present = np.zeros((m, 2048), np.float32)
+        present[owner[i:j], column[i:j] - low] = 1
+        common += present @ present.T
+    common = common.astype(np.int64)
+    return how.den * common >= how.num * (sizes[:, None] + sizes[None, :] - common)
+
+
+def verified_links(placed: DataFrame, meet: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) that connect all linked sets of each two blocks that meet; as many as nodes at most."""
+    sides = meet.select("low", "high", F.col("low").alias("block")).unionAll(
+        meet.filter("low < high").select("low", "high", F.col("high").alias("block")))
+    rows = sides.join(placed, "block").join(sets.select("node", "set"), "node").select("low", "high", "node", "set")
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+        sizes, node = np.array([len(x) for x in own], np.int64), rows["node"].to_numpy()
+        links = _linked_pairs(sizes, np.concatenate(own), np.repeat(np.arange(len(own)), sizes), how)
+        label = np.arange(len(own))
+        while True:
+            near = np.where(links, label[None, :], len(own)).min(1)
+            near = np.minimum(near, label)
+            near = near[near]
+            if (near == label).all():
+                break
+            label = near
+        apart = label != np.arange(len(own))
+        return pd.DataFrame({"a": node[apart], "b": node[label[apart]]})
+
+    return durable(rows.groupBy("low", "high").applyInPandas(verify, "a long, b long"))
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, how: Similarity, doc_id: str, text: str) -> DataFrame:
-    """(node, set) of the nodes given, read from the text of the document that stands for each."""
+    """(node, n, set) of the nodes given, read from the text of the document that stands for each."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 own = [shingles.shingle_set(words, how.k).tobytes() for words in shingles.words_of(part.column(1))]
-                yield pa.record_batch([part.column(0), pa.array(own, pa.binary())], ["node", "set"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(own, pa.binary())], ["node", "n", "set"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = nodes.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+    wanted = nodes.select("node", "n", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_hash")))
-    sets = found.select("node", "text").mapInArrow(read, "node long, set binary")
+    sets = found.select("node", "text", "n").mapInArrow(read, "node long, n long, set binary")
     # A repeated row brings the same set again.
-    return written(sets.groupBy("node").agg(F.max("set").alias("set")), "sets")
+    return written(sets.groupBy("node", "n").agg(F.max("set").alias("set")), "sets")
 
 
 def linked(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,25 +249,11 @@ def linked(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str =
     histogram = groups.groupBy("n").agg(F.count(F.lit(1)).alias("sets")).toPandas()  # a row for each set size
     small = boundary(histogram["n"].to_numpy(), histogram["sets"].to_numpy(), how)
     firsts = rows.select(F.col("row_id").alias("node"), "n", "first").filter("first is not null").join(groups.select("node"), "node", "left_semi")
-    members = durable(buckets(firsts, how, small).repartition("key"))
-
-    hub = Window.partitionBy("key")
-    starred = members.withColumns({"b": F.min("node").over(hub), "nb": F.min_by("n", "node").over(hub)})
-    pairs = durable(_near(starred.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb"), how))
-    # Members that no hub links may still link with each other, so sets are read for whole buckets.
-    wanted = groups.join(members.select("node").distinct(), "node", "left_semi")
+    wanted = groups.join(survivors(firsts, how, small), "node", "left_semi")
     sets = whole_sets(docs, wanted, how, doc_id, text)
-    links = _verified(pairs, sets, how)
-    labels = components(links)
-
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = labelled.withColumns({"low": F.min("label").over(hub), "high": F.max("label").over(hub)}).filter("low < high")
-    x = spread.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = spread.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    apart = _near(x.join(y, "key").filter("a < b and la <> lb").select("a", "b", "na", "nb"), how)
-    apart = apart.join(pairs, ["a", "b"], "left_anti")
-    links = links.unionAll(_verified(apart, sets, how))
-    labels = components(links)
+    lists = durable(scanned_lists(sets, how))
+    placed, meet = blocks_of(lists)
+    labels = components(verified_links(placed, meet, sets, how))
 
     named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("h1", "h2", "n", "node", "label")
     return rows.select("row_id", "doc_id", "text_hash", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select(

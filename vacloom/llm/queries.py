@@ -86,9 +86,9 @@ QUERIES = {
 ORACLE = {
     "op4_personal_data": op4_personal_data,
     "op5_voronoi_knn": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings),
         s AS (
-            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.w, d.w), p -> p[1] * p[2]))::BIGINT AS score
+            SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.w, d.w), lambda p: p[1] * p[2]))::BIGINT AS score
             FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
         ),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
