@@ -94,3 +94,11 @@ def test_rank_in_group_equals_row_number_on_a_hot_key(spark):
 def test_top_in_group_limits_before_the_shuffle(spark):
     plan = plan_text(top_in_group(spark.range(100).withColumn("k", F.col("id") % 3), ["k"], [F.col("id")], 2))
     assert "WindowGroupLimit" in plan
+
+
+def test_domains_follow_the_suffix_table(spark):
+    hosts = spark.createDataFrame([("https://www.shop.co.th/x",), ("a.b.co.uk",), (None,), ("co.th",)], "site string")
+    found = urls.with_domains(hosts, {"site": "domain"}, urls.suffix_table(spark, ["co.th"]))
+    assert {r.site: r.domain for r in found.collect()} == {"https://www.shop.co.th/x": "shop.co.th", "a.b.co.uk": "b.co.uk", None: "", "co.th": ""}
+    plain = urls.with_domains(hosts, {"site": "domain"}, urls.suffix_table(spark))
+    assert "co.th" in {r.domain for r in plain.collect()}

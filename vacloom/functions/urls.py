@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import let
@@ -15,8 +15,8 @@ URL_PATTERN = (
 # Query parameters that only record where a visitor came from.
 TRACKING_PARAMETERS = ["gh_src", "lever-source", "source", "ref", "referrer", "trk"]
 
-# An extract of the public suffix list, ICANN and private entries.
-# Pass the full list to registrable_domains() as a table where coverage matters.
+# An extract of the public suffix list, ICANN and private entries, for tests and as a
+# table to start from. Operators take the list as a table of any length (column ``suffix``).
 PUBLIC_SUFFIXES = [
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp",
     "ne.jp", "or.jp", "co.kr", "co.in", "net.in", "org.in", "com.br", "com.mx", "com.ar",
@@ -200,6 +200,23 @@ def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: s
     return hosts.join(named, host, "left")
 
 
+def with_domains(df: DataFrame, columns: dict[str, str], suffixes: DataFrame) -> DataFrame:
+    """Add the registrable domain of each column under the name given, empty where there is none.
+
+    ``suffixes`` is the public suffix list as a table. Values are looked up once each.
+    """
+    for column, out in columns.items():
+        named = registrable_domains(df.select(F.col(column).alias("_value")).distinct(), "_value", suffixes, "_found")
+        df = df.join(named, F.col(column).eqNullSafe(F.col("_value")), "left").withColumn(
+            out, F.coalesce("_found", F.lit(""))).drop("_value", "_found")
+    return df
+
+
+def suffix_table(spark: SparkSession, more: list[str] | None = None) -> DataFrame:
+    """The extract, and further entries, as a table."""
+    return spark.createDataFrame([(s,) for s in [*PUBLIC_SUFFIXES, *(more or [])]], "suffix string")
+
+
 def same_site(left: Column, right: Column) -> Column:
     a, b = bare_host(left), bare_host(right)
     return (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))

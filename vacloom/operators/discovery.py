@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import transient_failure
 from ..functions.hashing import prefixed_id
 from ..functions.text import domain_title
-from ..functions.urls import career_fingerprint, registrable_domain
+from ..functions.urls import career_fingerprint, with_domains
 from ..plans.skew import first_in_group
 
 # Version of the discovery rules, retry clock and statuses.
@@ -376,15 +376,14 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, fractions: dict[str
     return ranked.groupBy(*keys).agg(*picks, F.min(value).alias("minimum"), F.max(value).alias("maximum"))
 
 
-def measurement_inputs(records: DataFrame) -> DataFrame:
+def measurement_inputs(records: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Permitted pending records merged by domain with a dense index in domain order.
 
     ``records`` has website_url, company_name, classification, source_id, review_status,
     permission_status, position. The first record names the company, the explicit class wins.
     """
-    usable = records.filter("review_status = 'pending' AND permission_status = 'permitted'").withColumn(
-        "domain", registrable_domain(F.col("website_url"))
-    ).filter((F.col("domain") != "") & F.col("website_url").startswith("https://"))
+    pending = records.filter("review_status = 'pending' AND permission_status = 'permitted'")
+    usable = with_domains(pending, {"website_url": "domain"}, suffixes).filter((F.col("domain") != "") & F.col("website_url").startswith("https://"))
     explicit = F.max((F.col("classification") == "explicit_startup").cast("int"))
     first = F.min_by(F.struct("company_name", "website_url", "classification"), F.col("position"))
     merged = usable.groupBy("domain").agg(explicit.alias("_e"), first.alias("_f"), F.countDistinct("source_id").alias("sources"))

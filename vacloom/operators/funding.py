@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import funding_id
 from ..functions.text import plain_words
-from ..functions.urls import bare_host, host_suffixes, is_https, normal_href, registrable_domain, resolve_url
+from ..functions.urls import bare_host, host_suffixes, is_https, normal_href, resolve_url, with_domains
 from ..plans.skew import top_in_group
 
 # Wording of a funding announcement, look-back and excluded hosts.
@@ -67,8 +67,8 @@ def headline_company(title: Column) -> Column:
     return F.when(usable, name)
 
 
-def name_agrees(name: Column, website: Column) -> Column:
-    label = F.split(registrable_domain(website), "\\.")[0]
+def name_agrees(name: Column, domain: Column) -> Column:
+    label = F.split(domain, "\\.")[0]
     a, b = F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
     return (F.length(a) >= 3) & (F.length(b) >= 3) & (a.contains(b) | b.contains(a))
 
@@ -146,7 +146,7 @@ def bounded_links(links: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return top_in_group(links, keys, [F.col("position"), F.col("link")], limit).drop("_rank")
 
 
-def outside_websites(pages: DataFrame) -> DataFrame:
+def outside_websites(pages: DataFrame, suffixes: DataFrame) -> DataFrame:
     """The one company website a page points to, for pages that point to exactly one."""
     hrefs = F.regexp_extract_all("html", F.lit("(?i)<a\\b[^>]*href\\s*=\\s*[\"']([^\"']+)[\"']"), F.lit(1))
     scripts = F.regexp_extract_all(
@@ -159,15 +159,14 @@ def outside_websites(pages: DataFrame) -> DataFrame:
     link = resolve_url(F.col("href"), F.col("url"))
     rows = found.select("page_id", "url", link.alias("link")).filter(F.col("link").startswith("https://"))
     host = bare_host(F.col("link"))
-    outside = rows.filter((host != bare_host(F.col("url"))) & ~host.rlike(NOT_A_COMPANY)).withColumn(
-        "domain", registrable_domain(host)
-    ).filter("domain <> ''")
+    away = rows.filter((host != bare_host(F.col("url"))) & ~host.rlike(NOT_A_COMPANY)).withColumn("_host", host)
+    outside = with_domains(away, {"_host": "domain"}, suffixes).filter("domain <> ''")
     return outside.groupBy("page_id").agg(F.min("domain").alias("_a"), F.max("domain").alias("_b")).filter("_a = _b").select(
-        "page_id", F.concat(F.lit("https://"), F.col("_a"), F.lit("/")).alias("website_url")
+        "page_id", F.col("_a").alias("website_domain"), F.concat(F.lit("https://"), F.col("_a"), F.lit("/")).alias("website_url")
     )
 
 
-def company_leads(pages: DataFrame, companies: DataFrame, as_of: str) -> DataFrame:
+def company_leads(pages: DataFrame, companies: DataFrame, as_of: str, suffixes: DataFrame) -> DataFrame:
     """Unmatched announcements whose headline company agrees with the one linked website."""
     known = announcements(pages, companies, as_of).select("page_id").distinct()
     now = F.lit(as_of).cast("timestamp")
@@ -175,8 +174,8 @@ def company_leads(pages: DataFrame, companies: DataFrame, as_of: str) -> DataFra
     dated = F.col("published_at").between(now - F.expr(f"INTERVAL '{LOOKBACK_DAYS}' DAY"), now + F.expr("INTERVAL '1' DAY"))
     fresh = pages.filter(dated & is_https(F.col("url")) & is_announcement(combined) & (F.col("source_kind") == "reputable"))
     rest = fresh.join(known, "page_id", "left_anti").withColumn("company_name", headline_company(F.col("title")))
-    leads = rest.filter("company_name IS NOT NULL").join(outside_websites(fresh), "page_id").filter(
-        name_agrees(F.col("company_name"), F.col("website_url"))
+    leads = rest.filter("company_name IS NOT NULL").join(outside_websites(fresh, suffixes), "page_id").filter(
+        name_agrees(F.col("company_name"), F.col("website_domain"))
     )
     return leads.groupBy("website_url").agg(F.max_by(
         F.struct("company_name", F.col("url").alias("evidence_url"), "publisher", F.col("published_at").alias("observed_at")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import directory_class
 from ..functions.text import squeeze
-from ..functions.urls import bare_host, hostname, is_https, path_of, registrable_domain
+from ..functions.urls import bare_host, hostname, is_https, path_of, with_domains
 
 # Accepted states of registry records.
 PERMISSIONS = ["permitted", "manual_only", "awaiting_permission", "prohibited"]
@@ -27,7 +27,7 @@ def merge_candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def record_problem(row: dict[str, str] | None = None) -> Column:
-    """First rule a registry record breaks, or null. Columns as in the registry input table."""
+    """First rule a registry record breaks, or null. Columns as in the registry input table, and ``domain``."""
     def empty(column: str) -> Column:
         return F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
 
@@ -43,11 +43,11 @@ def record_problem(row: dict[str, str] | None = None) -> Column:
         .when(~F.coalesce("activity_state", F.lit("unknown")).isin(*ACTIVITIES), "activity_state")
         .when(~F.coalesce("review_status", F.lit("pending")).isin(*REVIEWS), "review_status")
         .when(F.col("observed_at").isNull(), "observed_at")
-        .when(registrable_domain(F.col("website_url")) == "", "registrable_domain")
+        .when(F.col("domain") == "", "registrable_domain")
     )
 
 
-def build_registry(records: DataFrame, aliases: DataFrame, acquisitions: DataFrame) -> dict[str, DataFrame]:
+def build_registry(records: DataFrame, aliases: DataFrame, acquisitions: DataFrame, suffixes: DataFrame) -> dict[str, DataFrame]:
     """Registry tables of valid records.
 
     ``records`` has record_id, position and the record columns plus observed_urls (array);
@@ -55,11 +55,11 @@ def build_registry(records: DataFrame, aliases: DataFrame, acquisitions: DataFra
     relation; both carry evidence_url. Later records win per alias, acquisition and evidence;
     the first state that is not the default stays.
     """
-    checked = records.withColumns({"problem": record_problem(), "domain": registrable_domain(F.col("website_url"))})
+    checked = with_domains(records, {"website_url": "domain"}, suffixes).withColumn("problem", record_problem())
     own = checked.select("record_id", "domain", "position")
 
     def bad(child: DataFrame, column: str) -> DataFrame:
-        rows = child.join(own, "record_id").withColumn("_d", registrable_domain(F.col(column)))
+        rows = with_domains(child.join(own, "record_id"), {column: "_d"}, suffixes)
         return rows.filter((F.col("_d") == "") | (F.col("_d") == F.col("domain")) | ~is_https(F.col("evidence_url"))).select("record_id")
 
     refused = bad(aliases, "alias_domain").unionByName(bad(acquisitions, "related_domain")).distinct()
@@ -76,8 +76,10 @@ def build_registry(records: DataFrame, aliases: DataFrame, acquisitions: DataFra
     def latest(child: DataFrame, keys: list[str]) -> DataFrame:
         return child.join(kept, "record_id").groupBy("domain", *keys).agg(F.max_by("evidence_url", F.col("position")).alias("evidence_url"))
 
-    alias_rows = latest(aliases.withColumn("alias_domain", registrable_domain(F.col("alias_domain"))), ["alias_domain"])
-    acquired = latest(acquisitions.withColumn("related_domain", registrable_domain(F.col("related_domain"))), ["relation", "related_domain"])
+    named = with_domains(aliases, {"alias_domain": "_d"}, suffixes).withColumn("alias_domain", F.col("_d"))
+    related = with_domains(acquisitions, {"related_domain": "_d"}, suffixes).withColumn("related_domain", F.col("_d"))
+    alias_rows = latest(named, ["alias_domain"])
+    acquired = latest(related, ["relation", "related_domain"])
     key = ["domain", "source_kind", "source_id", "evidence_url"]
     evidence = valid.groupBy(*key).agg(F.max_by(F.struct("permission_status", "terms_url", "observed_at", "classification"), F.col("position")).alias("e")).select(*key, "e.*")
     observed = valid.select(*key, F.explode("observed_urls").alias("observed_url"), "website_url").filter(
@@ -103,32 +105,34 @@ def identity_conflicts(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def resolve_domains(values: DataFrame, column: str, entries: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve_domains(values: DataFrame, column: str, entries: DataFrame, aliases: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Canonical domain of each value: itself if registered, else its alias owner, else itself."""
-    rows = values.withColumn("_d", registrable_domain(F.col(column)))
+    rows = with_domains(values, {column: "_d"}, suffixes)
     direct = entries.select(F.col("domain").alias("_d"), F.col("domain").alias("_direct")).distinct()
     via = aliases.groupBy(F.col("alias_domain").alias("_d")).agg(F.min("domain").alias("_via"))
     joined = rows.join(direct, ["_d"], "left").join(via, ["_d"], "left")
     return joined.withColumn("canonical_domain", F.coalesce("_direct", "_via", "_d")).drop("_d", "_direct", "_via")
 
 
-def directory_evidence(directory: DataFrame) -> DataFrame:
+def directory_evidence(directory: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Active directory companies with their first usable website, first row per slug.
 
     ``directory`` has slug, name, website (comma list), status, batch, position.
     """
     sites = F.transform(F.split("website", ","), lambda s: F.regexp_replace(F.trim(s), "^http://", "https://"))
-    good = F.filter(sites, lambda s: s.startswith("https://") & is_https(s) & (registrable_domain(s) != ""))
-    rows = directory.withColumn("website_url", F.try_element_at(good, F.lit(1))).filter(
-        (F.trim("slug") != "") & (F.trim("name") != "") & (F.lower("status") == "active") & F.col("website_url").isNotNull()
-    )
-    first = rows.groupBy(F.trim("slug").alias("slug")).agg(F.min_by(F.struct("name", "website_url", "batch"), F.col("position")).alias("f"))
+    secure = F.filter(sites, lambda s: s.startswith("https://") & is_https(s))
+    active = directory.filter((F.trim("slug") != "") & (F.trim("name") != "") & (F.lower("status") == "active"))
+    rows = active.select("slug", "name", "batch", "position", F.posexplode(secure).alias("_i", "website_url"))
+    rows = with_domains(rows, {"website_url": "_d"}, suffixes).filter("_d <> ''")
+    first = rows.groupBy(F.trim("slug").alias("slug")).agg(
+        F.min_by(F.struct("name", "website_url", "batch"), F.struct("position", "_i")).alias("f"))
     return first.select("slug", "f.name", "f.website_url", directory_class(F.col("f.batch")).alias("classification"))
 
 
-def choose_websites(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def choose_websites(rows: DataFrame, suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Best website per entity: shortest path, then shortest host, then text; the rest observed."""
-    usable = rows.select("entity_id", "website").distinct().filter(is_https(F.col("website")) & (registrable_domain(F.col("website")) != ""))
+    secure = rows.select("entity_id", "website").distinct().filter(is_https(F.col("website")))
+    usable = with_domains(secure, {"website": "_d"}, suffixes).filter("_d <> ''").drop("_d")
     best = usable.groupBy("entity_id").agg(F.min(F.struct(
         F.length(path_of(F.col("website"))).alias("p"), F.length(hostname(F.col("website"))).alias("h"), "website"
     )).alias("b")).select("entity_id", F.col("b.website").alias("website_url"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import canonical_url, hostname, is_https, registrable_domain, url_variants
+from ..functions.urls import canonical_url, hostname, is_https, url_variants, with_domains
 from .merging import insert_new
 
 # Accepted kinds and permissions of a signal, and the providers it can lead to.
@@ -18,7 +18,7 @@ LIFETIME_DAYS = 90
 
 
 def import_reason(as_of: str) -> Column:
-    """First reason a signal record is refused, or null."""
+    """First reason a signal record is refused, or null; ``_domain`` is that of its company."""
     now = F.lit(as_of).cast("timestamp")
 
     def text(column: str) -> Column:
@@ -33,7 +33,7 @@ def import_reason(as_of: str) -> Column:
     )
     return (
         F.when(~text("id").rlike("^[A-Za-z0-9][A-Za-z0-9._:-]{2,159}$"), "id must be a stable 3 to 160 character key")
-        .when((text("company_name") == "") | (F.length(text("company_name")) > 200) | (registrable_domain(text("company_domain")) == ""),
+        .when((text("company_name") == "") | (F.length(text("company_name")) > 200) | (F.col("_domain") == ""),
               "companyName and a registrable companyDomain are required")
         .when((text("role_function") == "") | (F.length(text("role_function")) > 200) | (text("summary") == "") | (F.length(text("summary")) > 1000),
               "roleFunction and summary are required")
@@ -47,9 +47,9 @@ def import_reason(as_of: str) -> Column:
     )
 
 
-def split_import(records: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def split_import(records: DataFrame, as_of: str, suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted records and (position, reason) of refused ones; one refusal refuses the batch."""
-    checked = records.withColumn("reason", import_reason(as_of))
+    checked = with_domains(records, {"company_domain": "_domain"}, suffixes).withColumn("reason", import_reason(as_of)).drop("_domain")
     refused = checked.filter("reason IS NOT NULL").select("position", "reason")
     gate = refused.agg((F.count(F.lit(1)) == 0).alias("_ok")).withColumn("_one", F.lit(1))
     accepted = checked.filter("reason IS NULL").withColumn("_one", F.lit(1)).join(gate.filter("_ok"), "_one").drop("_one", "_ok", "reason")
@@ -63,8 +63,8 @@ def active_signals(signals: DataFrame, as_of: str) -> DataFrame:
 def evidence_allows() -> Column:
     """Whether kind, hosts and permission of a signal allow promoting it."""
     source, evidence = hostname(F.col("source_url")), hostname(F.col("evidence_url"))
-    kind, domain = F.col("source_kind"), registrable_domain(F.col("company_domain"))
-    own = (registrable_domain(source) == domain) & (registrable_domain(evidence) == domain)
+    kind, domain = F.col("source_kind"), F.col("_company_site")
+    own = (F.col("_source_site") == domain) & (F.col("_evidence_site") == domain)
     return F.coalesce(
         F.when((source == "") | (evidence == ""), F.lit(False)).when(kind.isin("company_blog", "rss"), own)
         .when(kind == "github", source.isin(*GITHUB_HOSTS) & evidence.isin(*GITHUB_HOSTS))
@@ -93,11 +93,13 @@ def exact_roles(signals: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def promotions(
-    signals: DataFrame, companies: DataFrame, sources: DataFrame, roles: DataFrame, done: DataFrame, as_of: str
+    signals: DataFrame, companies: DataFrame, sources: DataFrame, roles: DataFrame, done: DataFrame, as_of: str, suffixes: DataFrame
 ) -> DataFrame:
     """Outcome of every signal: promoted with its role, already promoted, or why not."""
     now = F.lit(as_of).cast("timestamp")
-    domains = companies.select("company_id", registrable_domain(F.col("domain")).alias("_domain"))
+    domains = with_domains(companies.select("company_id", "domain"), {"domain": "_domain"}, suffixes).drop("domain")
+    signals = with_domains(
+        signals, {"company_domain": "_company_site", "source_url": "_source_site", "evidence_url": "_evidence_site"}, suffixes)
     live = sources.filter(F.col("enabled") & (F.col("discovery_status") == "active") & F.col("provider").isin(*PROVIDERS)).select(
         "company_id", F.lit(True).alias("_source")
     ).distinct()
@@ -110,7 +112,7 @@ def promotions(
         .when(F.col("company_id").isNull(), "canonical_company_required")
         .when((F.col("status") != "active") | (F.col("expires_at") <= now), "signal_inactive_or_expired")
         .when(~evidence_allows(), "off_board_evidence_mismatch")
-        .when(~F.col("_domain").eqNullSafe(registrable_domain(F.col("company_domain"))), "employer_domain_mismatch")
+        .when(~F.col("_domain").eqNullSafe(F.col("_company_site")), "employer_domain_mismatch")
         .when(F.col("_source").isNull(), "canonical_source_required")
         .when(F.col("job_id").isNull(), "exact_current_role_not_found")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, role, table, with_roles
 from ..operators import discovery as op
+from ..functions.urls import suffix_table
 from .catalog import query
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -222,7 +223,7 @@ INPUT = """SELECT 'https://www.site' || CAST(o_custkey AS STRING) || '.co.uk/x'
 def measurement_inputs(spark, sf_dir):
     table(spark, sf_dir, "region")
     records = spark.sql(INPUT.format(orders=f"parquet.`{sf_dir}/orders.parquet`"))
-    return op.dense_index(op.measurement_inputs(records), "domain").select(
+    return op.dense_index(op.measurement_inputs(records, suffix_table(spark)), "domain").select(
         "input_index", "domain", "company_name", "classification", "sources"
     )
 

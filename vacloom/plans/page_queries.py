@@ -114,7 +114,7 @@ def board_candidates(spark, sf_dir):
   SELECT 'careers.other' || board_no || '.com' AS host, count(DISTINCT 'example.org') AS domains, count(DISTINCT url) AS pages,
     count(*) AS occurrences, 'apply_path,jobs_path' AS signals FROM ({BOARD_LINK.format(lineitem='lineitem')}) WHERE kind = 4 GROUP BY board_no""")
 def unsupported_host_leads(spark, sf_dir):
-    links = op.external_links(board_links(spark, sf_dir).withColumnRenamed("site", "page_id"))
+    links = op.external_links(board_links(spark, sf_dir).withColumnRenamed("site", "page_id"), u.suffix_table(spark))
     return discovery.host_leads(links).select(
         "host", "domains", "pages", "occurrences", F.array_join("signals", ",").alias("signals")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import role, table, with_roles
 from ..operators import signals as op
+from ..functions.urls import suffix_table
 from .catalog import query
 
 NOW = "2024-01-20 00:00:00"
@@ -35,7 +36,7 @@ RECORD = """SELECT event_id AS position, CASE WHEN event_id % 31 = 0 THEN '-' EL
 def signal_import_refusals(spark, sf_dir):
     table(spark, sf_dir, "region")
     records = spark.sql(RECORD.format(events=f"parquet.`{sf_dir}/events.parquet`"))
-    return op.split_import(records, NOW)[1]
+    return op.split_import(records, NOW, suffix_table(spark))[1]
 
 
 SIGNAL = """SELECT o_orderkey AS signal_id, o_custkey AS company_id, 'cust' || CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE o_custkey END AS STRING) || '.com' AS company_domain,
@@ -64,7 +65,7 @@ def signal_rows(spark, sf_dir):
 def promoted(spark, sf_dir):
     jobs = role(spark, sf_dir, "job")
     done = jobs.filter("1 = 0").select(F.col("job_id").alias("signal_id"), "job_id", "company_id")
-    return op.promotions(signal_rows(spark, sf_dir), role(spark, sf_dir, "company"), role(spark, sf_dir, "source"), jobs, done, NOW)
+    return op.promotions(signal_rows(spark, sf_dir), role(spark, sf_dir, "company"), role(spark, sf_dir, "source"), jobs, done, NOW, suffix_table(spark))
 
 
 @query("signal_promotions_recorded", with_roles("source", "job", "company", then=f"""

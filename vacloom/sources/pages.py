@@ -17,7 +17,7 @@ from ..functions.classify import application_pool, role_family, us_eligible
 from ..functions.text import decode_entities, domain_title, plain_html, squeeze, strip_tags, summary
 from ..functions.urls import (
     bare_host, canonical_url, detect_board, external_career_signals, hostname, is_https, normal_href,
-    path_of, registrable_domain, resolve_url, same_site,
+    path_of, resolve_url, same_site, with_domains,
 )
 
 LINK = "(?i)href\\s*=\\s*[\"']([^\"'#]+)[\"']"
@@ -158,12 +158,10 @@ def board_candidates(links: DataFrame, site: str) -> DataFrame:
     )
 
 
-def external_links(links: DataFrame) -> DataFrame:
+def external_links(links: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Career-like links to other sites that are not on a known board."""
-    rows = links.withColumns({
-        "signals": external_career_signals(F.col("link")), "domain": registrable_domain(F.col("url")),
-    })
-    other = registrable_domain(F.col("link")) != F.col("domain")
+    rows = with_domains(links, {"url": "domain", "link": "_other"}, suffixes).withColumn("signals", external_career_signals(F.col("link")))
+    other = F.col("_other") != F.col("domain")
     return rows.filter(other & (F.size("signals") > 0) & detect_board(F.col("link")).isNull()).select(
         "page_id", hostname(F.col("link")).alias("host"), "domain",
         F.col("url").alias("page"), F.lit(1).cast("long").alias("occurrences"), "signals",
