@@ -29,7 +29,7 @@ MODULES = [
     "search_queries", "movement_queries", "score_queries", "snapshot_queries", "feed_queries",
     "matching_queries", "refresh_queries", "text_queries", "page_queries",
     "registry_queries", "discovery_queries", "audit_queries", "coverage_queries",
-    "signal_queries", "phrase_queries", "stream_queries", "payload_queries",
+    "signal_queries", "phrase_queries", "stream_queries", "payload_queries", "career_queries",
 ]
 
 

@@ -5,13 +5,8 @@ A pages table has page_id, url and html. Fetching happens elsewhere; whole pages
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.classify import application_pool, role_family, us_eligible
 from ..functions.text import decode_entities, domain_title, plain_html, squeeze, strip_tags, summary
@@ -19,6 +14,10 @@ from ..functions.urls import (
     bare_host, canonical_url, detect_board, external_career_signals, hostname, is_https, normal_href,
     path_of, resolve_url, same_site, with_domains,
 )
+from ..session import durable
+from .payloads import conflicting_sources
+
+# Patterns that read links, calls to apply and requisition numbers from pages.
 
 LINK = "(?i)href\\s*=\\s*[\"']([^\"'#]+)[\"']"
 ANCHOR = "(?is)<a\\b([^>]*?)href\\s*=\\s*[\"']([^\"'#]+)[\"']([^>]*)>(.*?)</a>"
@@ -169,32 +168,29 @@ def external_links(links: DataFrame, suffixes: DataFrame) -> DataFrame:
     )
 
 
-def _walk(value, found: list) -> None:
-    if isinstance(value, list):
-        for item in value:
-            _walk(item, found)
-    elif isinstance(value, dict) and value:
-        _walk(value.get("@graph", []), found)
-        kinds = value.get("@type")
-        kinds = kinds if isinstance(kinds, list) else [kinds]
-        if any(isinstance(k, str) and k.strip().lower() == "jobposting" for k in kinds):
-            found.append(value)
+JSONLD = "(?is)<script\\b[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _posting_nodes(scripts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JSON of every JobPosting node in a page's scripts; null when one does not parse."""
-    def nodes(texts):
-        found: list = []
-        try:
-            for text in texts:
-                _walk(json.loads(text), found)
-        except ValueError:
-            return None
-        return [json.dumps(node) for node in found]
+def posting_nodes(values: DataFrame) -> DataFrame:
+    """(page_id, node): every JobPosting object below the variants of ``values`` (page_id, v).
 
-    for batch in scripts:
-        yield batch.map(nodes)
+    Lists and graphs are opened level by level, all pages at once, until a level has none left; how deep
+    they nest is not bounded.
+    """
+    found, level = None, values.select("page_id", "v")
+    while True:
+        items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+        is_list = F.schema_of_variant("v").startswith("ARRAY")
+        graph = F.try_variant_get("v", '$["@graph"]', "variant")
+        kinds = F.coalesce(F.try_variant_get("v", '$["@type"]', "array<string>"), F.array(F.try_variant_get("v", '$["@type"]', "string")))
+        rows = durable(level.filter("v IS NOT NULL").withColumns({"is_list": is_list, "graph": graph}))
+        posting = F.exists(kinds, lambda k: F.coalesce(F.lower(F.trim(k)) == "jobposting", F.lit(False)))
+        nodes = rows.filter(~F.col("is_list") & posting).select("page_id", F.to_json("v").alias("node"))
+        found = nodes if found is None else found.unionAll(nodes)
+        level = rows.filter("is_list").select("page_id", F.explode(items).alias("v")).unionAll(
+            rows.filter("NOT is_list AND graph IS NOT NULL").select("page_id", F.col("graph").alias("v")))
+        if level.isEmpty():
+            return found
 
 
 def jsonld_postings(pages: DataFrame) -> DataFrame:
@@ -202,12 +198,12 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
 
     Columns page_id, url, html, complete, node (JSON text, null where there is none).
     """
-    pattern = "(?is)<script\\b[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
-    scripts = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    found = pages.withColumn("_n", _posting_nodes(scripts))
-    return found.withColumn("complete", F.col("_n").isNotNull()).withColumn(
-        "node", F.explode_outer("_n")
-    ).drop("_n")
+    scripts = F.transform(F.regexp_extract_all("html", F.lit(JSONLD), F.lit(1)), F.try_parse_json)
+    read = pages.select("page_id", scripts.alias("scripts"))
+    broken = read.filter(F.exists("scripts", lambda v: v.isNull())).select("page_id", F.lit(True).alias("_broken"))
+    whole = read.join(broken, "page_id", "left_anti").select("page_id", F.explode("scripts").alias("v"))
+    return pages.join(broken, "page_id", "left").join(posting_nodes(whole), "page_id", "left").withColumn(
+        "complete", F.col("_broken").isNull()).drop("_broken")
 
 
 def apply_link(html: Column, url: Column) -> Column:
@@ -237,7 +233,11 @@ def _as_list(node: Column, path: str) -> Column:
 
 def structured_postings(pages: DataFrame, as_of: str) -> DataFrame:
     """Current, eligible postings from JSON-LD nodes of complete pages."""
-    nodes = jsonld_postings(pages).filter("complete AND node IS NOT NULL")
+    return postings_of_nodes(jsonld_postings(pages), as_of)
+
+
+def postings_of_nodes(read: DataFrame, as_of: str) -> DataFrame:
+    nodes = read.filter("complete AND node IS NOT NULL")
 
     def text(path: str) -> Column:
         return F.trim(F.coalesce(F.get_json_object("node", path), F.lit("")))
@@ -272,6 +272,7 @@ def structured_postings(pages: DataFrame, as_of: str) -> DataFrame:
         F.array_join(_as_list(F.col("node"), "$.employmentType"), ", ").alias("_type"), pay.alias("_pay"),
         structured_id.alias("_id"), apply_link(F.col("html"), F.col("url")).alias("apply_url"),
     )
+    rows = durable(rows)  # the patterns run once, not again in each condition below
     page_host, employer_ok = F.col("url"), F.col("_employer_url") == ""
     kept = rows.filter(
         (F.col("title") != "") & (F.col("description") != "") & (F.col("_employer") != "") & F.col("apply_url").isNotNull()
@@ -305,6 +306,7 @@ def semantic_postings(pages: DataFrame, minimum_body: int = 250) -> DataFrame:
         plain_html(rest).alias("description"), plain_html(classed).alias("_classed"),
         apply_link(F.col("html"), F.col("url")).alias("apply_url"),
     )
+    rows = durable(rows)
     stated = F.trim(F.regexp_extract("description", "(?i)\\bLocation\\s*:\\s*([^|•]{2,100})", 1))
     rows = rows.withColumns({
         "location": F.coalesce(F.nullif("_classed", F.lit("")), stated),
@@ -329,11 +331,19 @@ def semantic_postings(pages: DataFrame, minimum_body: int = 250) -> DataFrame:
 
 
 def career_postings(pages: DataFrame, as_of: str) -> DataFrame:
-    """Structured postings, or the semantic reading of pages that have none."""
-    structured = structured_postings(pages, as_of)
-    broken = jsonld_postings(pages).filter("NOT complete").select("page_id")
+    """Structured postings, or the semantic reading of pages that have none.
+
+    A site's postings count once each; a site on which one id stands for different postings gives none.
+    """
+    read = durable(jsonld_postings(pages))
+    structured = durable(postings_of_nodes(read, as_of))
+    broken = read.filter("NOT complete").select("page_id")
     rest = pages.join(structured.select("page_id"), "page_id", "left_anti").join(broken, "page_id", "left_anti")
-    return structured.unionByName(semantic_postings(rest)).withColumn("canonical_key", canonical_url(F.col("canonical_url")))
+    rows = structured.unionByName(semantic_postings(rest)).withColumn("source_id", bare_host(F.col("url")))
+    told = rows.drop("page_id", "url")
+    kept = rows.join(conflicting_sources(told), "source_id", "left_anti")
+    first = kept.groupBy("source_id", "external_id").agg(F.min("page_id").alias("page_id"))
+    return kept.join(first, ["source_id", "external_id", "page_id"]).withColumn("canonical_key", canonical_url(F.col("canonical_url")))
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
