@@ -76,14 +76,11 @@ def page_canonical_urls(spark, sf_dir):
 
 
 @query("page_domain_titles", """
-  SELECT page_id, upper(substr(label, 1, 1)) || substr(label, 2) AS title FROM (
-    SELECT page_id, string_split(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', ''), '.')[1] AS label FROM pages)
-  WHERE label NOT LIKE '%-%'""")
+  SELECT page_id, array_to_string(list_transform(string_split_regex(label, '[-_]'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM (
+    SELECT page_id, string_split(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', ''), '.')[1] AS label FROM pages)""")
 def page_domain_titles(spark, sf_dir):
     host = u.bare_host(F.col("url"))
-    return pages(spark, sf_dir).filter(~F.split(host, "\\.")[0].contains("-")).select(
-        "page_id", t.domain_title(host).alias("title")
-    )
+    return pages(spark, sf_dir).select("page_id", t.domain_title(host).alias("title"))
 
 
 BOARD_LINK = """SELECT l_orderkey AS site, 'https://site' || CAST(l_orderkey AS STRING) || '.example.org/p' || CAST(l_linenumber AS STRING) AS url,
@@ -146,10 +143,10 @@ def funding_announcements(spark, sf_dir):
 
 
 @query("funding_headline_names", f"""
-  SELECT page_id, CASE WHEN page_id % 5 = 4 THEN regexp_extract(title, '^(.*), raises', 1) ELSE regexp_extract(title, '^(Customer#[0-9]+)', 1) END AS company
-  FROM ({HEADLINE.format(orders='orders')}) WHERE page_id % 5 <> 4""")
+  SELECT page_id, CASE WHEN page_id % 5 = 4 THEN regexp_extract(title, '^(.*,) raises', 1) ELSE regexp_extract(title, '^(Customer#[0-9]+)', 1) END AS company
+  FROM ({HEADLINE.format(orders='orders')})""")
 def funding_headline_names(spark, sf_dir):
-    return headlines(spark, sf_dir).filter("page_id % 5 <> 4").select(
+    return headlines(spark, sf_dir).select(
         "page_id", funding.headline_company(F.col("title")).alias("company")
     )
 
