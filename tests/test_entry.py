@@ -41,9 +41,10 @@ assert set(e.oracle_sql()) <= set(found)
 
 
 def test_nothing_outside_imports_the_training_data_package():
+    import re
     from pathlib import Path
 
     root = Path(__file__).resolve().parents[1] / "vacloom"
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
-            assert "llm" not in path.read_text(), path
+            assert not re.search(r"(?m)^\s*(?:from|import)\b.*\bllm\b", path.read_text()), path
