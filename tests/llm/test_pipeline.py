@@ -48,7 +48,7 @@ def test_quality_stage(stages):
 
 def test_near_duplicate_stage(stages):
     _, rows, _ = stages
-    groups = {c for _, _, c in brute([(r[0], r[1]) for r in rows[1]], jaccard.Similarity())}
+    groups = {c for _, _, c, _ in brute([(r[0], r[1]) for r in rows[1]], jaccard.Similarity())}
     assert sorted(r[0] for r in rows[2]) == sorted(groups) and len(rows[2]) < len(rows[1])
 
 
@@ -85,3 +85,11 @@ def test_packing_stage(stages):
     for piece in rows[5]:
         got.update(np.frombuffer(piece[3], "<u4").tolist())
     assert got == want
+
+
+def test_every_query_is_registered():
+    import __spark_entry__ as entry_module
+
+    found, oracle = entry_module.queries(), entry_module.oracle_sql()
+    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in found if name[:2] == "op" and name[2:3].isdigit()}
+    assert found["pipeline"] is corpus_pipeline.run and all(isinstance(sql, str) for sql in oracle.values())

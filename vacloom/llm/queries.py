@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import binary, chat, jaccard, knn, mixing, packing, pii, quality, secrets, suffixes
+from vacloom.llm import binary, chat, jaccard, knn, mixing, oracles, packing, pii, quality, secrets, suffixes
 from vacloom.llm.common import table, word_count
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Similarity(3, 90, 100))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,10 @@ QUERIES = {
     "op10_prefix_targets": op10_prefix_targets,
 }
 ORACLE = {
-    "op4_personal_data": op4_personal_data,
+    "op1_ngram_jaccard": oracles.jaccard_sql(jaccard.Similarity(3, 90, 100)),
+    "op2_quality_rules": oracles.quality_sql(),
+    "op8_repeated_passages": oracles.passages_sql(),
+    "op10_prefix_targets": oracles.chat_sql(),
     "op5_voronoi_knn": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings),
         s AS (
