@@ -20,7 +20,7 @@ def shingle(text, k):
 
 def brute(rows, how):
     sets = [shingle(t, how.k) for _, t in rows]
-    label = list(range(len(rows)))
+    label, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while label[i] != i:
@@ -32,11 +32,12 @@ def brute(rows, how):
             b = sets[j]
             if a and b and how.den * len(a & b) >= how.num * len(a | b):
                 label[max(root(i), root(j))] = min(root(i), root(j))
+                links[i], links[j] = links[i] + 1, links[j] + 1
     least = {}
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             least[root(i)] = min(least.get(root(i), doc), doc)
-    return sorted(((doc, len(sets[i]), least.get(root(i))) for i, (doc, _) in enumerate(rows)), key=str)
+    return sorted(((doc, len(sets[i]), least.get(root(i)), links[i]) for i, (doc, _) in enumerate(rows)), key=str)
 
 
 def corpus(seed, k):
@@ -70,7 +71,7 @@ def corpus(seed, k):
 def test_components_equal_brute_force(spark, how):
     rows = corpus(how.k, how.k)
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(7)
-    got = jaccard.classes(table, how).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard.classes(table, how).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, how)
     assert len({r.component_id for r in got}) < 0.6 * len(rows)
 
@@ -81,7 +82,7 @@ def test_one_document_of_each_group_stays(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("kept"))
     kept = jaccard.one_of_each(table, how)
     assert kept.columns == table.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c if c is not None else d for d, _, c in brute(rows, how)})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c if c is not None else d for d, _, c, _ in brute(rows, how)})
     assert jaccard.one_of_each(table.limit(0)).count() == 0
 
 

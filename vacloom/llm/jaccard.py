@@ -12,7 +12,7 @@ least. The whole sets of those that are left are read, and of their inverted lis
 scanned, as many as the overlap with a partner allows to leave out.
 
 Sets that a list brings together are verified exactly, block against block: intersections are counted by
-matrix products in memory of a fixed size, and of the links only a spanning forest leaves a task. So a group
+matrix products in memory of a fixed size, and of the links only a spanning forest and each node's count leave a task. So a group
 of thousands of near copies makes no rows for its pairs, and no link between parts is lost.
 
 Defined results: a null, empty or blank text has an empty set and no links; a text shorter than k words is
@@ -29,13 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacloom.llm import shingles
 from vacloom.llm.common import durable, numbered, written
 from vacloom.llm.components import components
 
+FILTER_BITS = 1 << 26  # of the filter that finds the documents whose sets are read; 8 MB
 BLOCK = 256  # nodes that are verified together
 SCAN_COST = 3.0  # what a posting in an inverted list costs, in rows of enumerated subsets
 
@@ -200,10 +201,14 @@ def _linked_pairs(sizes: np.ndarray, tokens: np.ndarray, owners: np.ndarray, how
 
 
 def verified_links(placed: DataFrame, meet: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """Links (a, b) that connect all linked sets of each two blocks that meet; as many as nodes at most."""
+    """(a, b, links): for each node of two blocks that meet, a linked node it hangs on (or itself) and its links across them.
+
+    The links from a to b connect all linked sets. A linked pair shares a list, so its blocks meet exactly
+    once, and the sums of ``links`` count each node's links, a link to each copy of a set counted.
+    """
     sides = meet.select("low", "high", F.col("low").alias("block")).unionAll(
         meet.filter("low < high").select("low", "high", F.col("high").alias("block")))
-    rows = sides.join(placed, "block").join(sets.select("node", "set"), "node").select("low", "high", "node", "set")
+    rows = sides.join(placed, "block").join(sets.select("node", "set"), "node").select("low", "high", "block", "node", "copies", "set")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         own = [np.frombuffer(x, np.uint64) for x in rows["set"]]
@@ -217,35 +222,61 @@ def verified_links(placed: DataFrame, meet: DataFrame, sets: DataFrame, how: Sim
             if (near == label).all():
                 break
             label = near
-        apart = label != np.arange(len(own))
-        return pd.DataFrame({"a": node[apart], "b": node[label[apart]]})
+        block, copies = rows["block"].to_numpy(), rows["copies"].to_numpy(np.int64)
+        np.fill_diagonal(links, False)
+        if rows["low"].iloc[0] != rows["high"].iloc[0]:
+            links &= block[:, None] != block[None, :]  # those within a block are counted where it meets itself
+        found = np.where(links, copies[None, :], 0).sum(1)
+        told = (found > 0) | (label != np.arange(len(own)))
+        return pd.DataFrame({"a": node[told], "b": node[label[told]], "links": found[told]})
+
+    return durable(rows.groupBy("low", "high").applyInPandas(verify, "a long, b long, links long"))
+
+
+def _document_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))
 
-    return durable(rows.groupBy("low", "high").applyInPandas(verify, "a long, b long"))
+
+def _key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each possible remainder of a key; of a fixed size, whatever the number of keys."""
+    place = F.pmod("key", F.lit(FILTER_BITS))
+    words = keys.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))")).alias("bits"))
+    found, out = words.toPandas(), np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, how: Similarity, doc_id: str, text: str) -> DataFrame:
-    """(node, n, set) of the nodes given, read from the text of the document that stands for each."""
+    """(node, n, set) of the nodes given, read from the text of the document that stands for each.
+
+    Texts stay where they are: a bit filter passes over most documents that are not asked for, and only sets
+    are shuffled. What the filter lets through wrongly goes in the join.
+    """
+    wanted = durable(nodes.select("node", F.xxhash64("doc_id", "text_hash").alias("key")))
+    bits = _key_filter(wanted)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.column(0).to_numpy() % FILTER_BITS
+            asked = pa.array((bits[place // 8] >> (place % 8)) & 1 == 1)
+            batch = batch.filter(asked)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = [shingles.shingle_set(words, how.k).tobytes() for words in shingles.words_of(part.column(1))]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(own, pa.binary())], ["node", "n", "set"])
+                own = [shingles.shingle_set(words, how.k) for words in shingles.words_of(part.column(1))]
+                yield pa.record_batch(
+                    [part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "n", "set"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = nodes.select("node", "n", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_hash")))
-    sets = found.select("node", "text", "n").mapInArrow(read, "node long, n long, set binary")
+    found = docs.select(_document_key(doc_id, text).alias("key"), F.col(text)).mapInArrow(read, "key long, n long, set binary")
     # A repeated row brings the same set again.
-    return written(sets.groupBy("node", "n").agg(F.max("set").alias("set")), "sets")
+    return written(found.repartition("key").groupBy("key", "n").agg(F.max("set").alias("set")).join(wanted, "key").select("node", "n", "set"), "sets")
 
 
 def linked(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: row_id, doc_id, n_shingles, node (documents with equal sets share one) and component."""
+    """Per document: row_id, doc_id, n_shingles, node (documents with equal sets share one), component and number of links."""
     rows = described(docs, how, doc_id, text)
     filled = rows.filter("n > 0")
-    groups = filled.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("row_id", "doc_id", "text_hash"), "row_id").alias("r"))
-    groups = durable(groups.select("h1", "h2", "n", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash"))
+    groups = filled.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("row_id", "doc_id", "text_hash"), "row_id").alias("r"), F.count(F.lit(1)).alias("copies"))
+    groups = durable(groups.select("h1", "h2", "n", "copies", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash"))
     histogram = groups.groupBy("n").agg(F.count(F.lit(1)).alias("sets")).toPandas()  # a row for each set size
     small = boundary(histogram["n"].to_numpy(), histogram["sets"].to_numpy(), how)
     firsts = rows.select(F.col("row_id").alias("node"), "n", "first").filter("first is not null").join(groups.select("node"), "node", "left_semi")
@@ -253,19 +284,22 @@ def linked(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str =
     sets = whole_sets(docs, wanted, how, doc_id, text)
     lists = durable(scanned_lists(sets, how))
     placed, meet = blocks_of(lists)
-    labels = components(verified_links(placed, meet, sets, how))
+    links = verified_links(placed.join(groups.select("node", "copies"), "node"), meet, sets, how)
+    labels = components(links.filter("a <> b").select("a", "b"))
+    counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
-    named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("h1", "h2", "n", "node", "label")
+    named = groups.join(labels, "node", "left").join(counted, "node", "left").select(
+        "h1", "h2", "n", "node", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.select("row_id", "doc_id", "text_hash", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select(
         "row_id", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("node", "row_id").alias("node"),
-        F.coalesce("label", "row_id").alias("component"))
+        F.coalesce("label", "row_id").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def classes(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id of its component), node and row_id."""
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id of its component), n_links, node and row_id."""
     found = durable(linked(docs, how, doc_id, text))
     names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "component").select("row_id", "doc_id", "n_shingles", "component_id", "node", "text_hash", "component")
+    return found.join(names, "component").select("row_id", "doc_id", "n_shingles", "component_id", "n_links", "node", "text_hash", "component")
 
 
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
