@@ -82,6 +82,28 @@ def test_repeats_written_otherwise_are_found(spark):
     assert pii.scan(table.limit(0)).count() == 0
 
 
+def test_repeats_are_found_however_many():
+    rng = random.Random(11)
+    sample = [[(m, pii.features(t, m)) for m in pii.mentions(t)] for t, _ in (document(rng) for _ in range(150))]
+    level = pii.Field(np.zeros((pii.N_FEATURES, len(pii.LABELS))), np.zeros((len(pii.LABELS), len(pii.LABELS))), 6.0, 6.0)
+    for field, base in ((level, "+1 555 123 4567"), (level, "1 555 123-4567 or +1 (555) 123-4567"), (pii.fitted(sample), "call +1 555 123 4567")):
+        for n in (1, 50, 500):
+            text = base + " onthe ofan (555) 123-4567" * n
+            got = pii.all_spans(field, text)[1]
+            want = {m.start() for m in re.finditer(r"(?<=ofan )\(555\) 123-4567", text)}
+            assert want <= {s for s, k, _ in got if k == 3}, (n, len(got))
+
+
+def test_labels_pass_along_neighbours_as_far_as_they_carry():
+    n = 40
+    unary = np.zeros((n, 5))
+    unary[0] = [-1e4, -1e4, -1e4, -1e4, 0]
+    edges = np.array([(i, i + 1) for i in range(n - 1)])
+    got = pii.beliefs(pii.empty_field(), unary, edges, np.array([8.0 * np.eye(5)] * (n - 1)))
+    step = (np.exp(8) - 1) / (np.exp(8) + 4)
+    assert np.abs(got[:, 4] - (0.2 + 0.8 * step ** np.arange(n))).max() < 1e-2
+
+
 def test_masking_keeps_the_rest(spark):
     rows = [(1, "mail a.b@c.de or +1 555 123 4567!", 7), (2, None, 0), (3, "nothing", 7)]
     table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("spans", F.lit("kept"))

@@ -3,8 +3,10 @@
 Mentions are what the base patterns match and what merely looks like it: runs of digits, and addresses with
 a spelled-out at sign. A mention has a label (one of the kinds, or none). Neighbouring mentions share a
 transition potential; mentions of a document with equal or similar contents, however far apart, share a skip
-potential, each with the next one of its group, so edges grow with the mentions and not with their square.
-Loopy message passing gives each mention its label's probability given all others. Base matches are evidence:
+potential. Each mention of such a group is linked to the base matches of the group around it and to the group's
+first mention without one: evidence is one edge away however long the document, and edges grow with the mentions
+and not with their square. Loopy message passing, until the messages settle, gives each mention its label's
+probability given all others. Base matches are evidence:
 their labels are fixed and their spans always stay. A mention that no base pattern matched becomes a span if
 the field is sure of a kind.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCUMENTS = 8000
 SURE = 0.95
-ROUNDS = 12
+SETTLED = 1e-4  # largest change of a message, in logarithms, that ends the passing
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
@@ -168,6 +170,26 @@ def _groups(keys: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _repeats(keys: list[str], labels: list[int]) -> list[tuple[int, int]]:
+    """Each place that has no label with its group's labelled ones next to it and with the first that has none."""
+    before: dict[str, int] = {}
+    first: dict[str, int] = {}
+    out = []
+    for i, key in enumerate(keys):
+        if labels[i]:
+            before[key] = i
+            continue
+        out += [(x[key], i) for x in (before, first) if key in x]
+        first.setdefault(key, i)
+    after: dict[str, int] = {}
+    for i in range(len(keys) - 1, -1, -1):
+        if labels[i]:
+            after[keys[i]] = i
+        elif keys[i] in after:
+            out.append((i, after[keys[i]]))
+    return out
+
+
 def fitted(sample: list[list[tuple[Mention, list[float]]]], weak: float = 0.2, steps: int = 400) -> Field:
     """Multinomial regression for the features and smoothed log odds for the edges."""
     flat = []
@@ -199,21 +221,28 @@ def fitted(sample: list[list[tuple[Mention, list[float]]]], weak: float = 0.2, s
     return Field(unary, chain, max(6.0, odds["same"]), max(4.0, odds["similar"]))
 
 
-def beliefs(field: Field, unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities by damped loopy message passing. ``potentials[e]`` holds edge e from its first to its second end."""
+def beliefs(field: Field, unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Label probabilities by damped loopy message passing. ``potentials[e]`` holds edge e from its first to its second end.
+
+    Messages pass until none changes by more than ``SETTLED``; if they never settle, for as many rounds as there
+    are edges (and for those that damping takes).
+    """
     n, k = unary.shape
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     along = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     messages = np.zeros((len(source), k))
-    for _ in range(rounds if len(edges) else 0):
+    for _ in range((rounds or len(edges) + 60) if len(edges) else 0):
         total = unary.copy()
         np.add.at(total, target, messages)
         cavity = total[source] - messages[back]
         z = cavity[:, :, None] + along
         top = z.max(1)
         new = top + np.log(np.exp(z - top[:, None, :]).sum(1))
-        messages = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+        step = 0.5 * (new - new.max(1, keepdims=True) - messages)
+        messages = messages + step
+        if np.abs(step).max() < SETTLED:
+            break
     total = unary.copy()
     np.add.at(total, target, messages)
     p = np.exp(total - total.max(1, keepdims=True))
@@ -231,8 +260,11 @@ def label_probabilities(field: Field, found: list[Mention], x: np.ndarray) -> np
     for i in range(len(found) - 1):
         edges.append((i, i + 1))
         potentials.append(field.chain)
-    same = _groups([m.same for m in found])
-    for pairs, strength in ((same, field.same), (sorted(set(_groups([m.similar for m in found])) - set(same)), field.similar)):
+    labels = [m.label for m in found]
+    same, similar = (_repeats([getattr(m, kind) for m in found], labels) for kind in ("same", "similar"))
+    # Equal contents are similar too: between two of them only the stronger potential counts.
+    similar = [(i, j) for i, j in similar if found[i].same != found[j].same]
+    for pairs, strength in ((same, field.same), (similar, field.similar)):
         edges += pairs
         potentials += [agree * strength] * len(pairs)
     shape = (len(edges), len(LABELS), len(LABELS))
