@@ -86,6 +86,17 @@ def test_one_document_of_each_group_stays(spark):
     assert jaccard.one_of_each(table.limit(0)).count() == 0
 
 
+def test_one_of_repeated_rows_and_nameless_copies_stays(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("onthe", "ofan"))
+    near = text.replace("onthe59", "reat59")
+    rows = [(7, text, "b")] * 3 + [(7, text, "a"), (8, near, "c"), (9, text, "d")] + [(None, other, "e")] * 4 + [(1, "", "f")] * 2 + [(None, None, "g")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = jaccard.one_of_each(table)
+    assert kept.schema == table.schema
+    want = [(7, text, "a"), (None, other, "e")] + [(1, "", "f")] * 2 + [(None, None, "g")] * 2
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
 def test_no_link_is_lost_wherever_the_boundary_lies(spark):
     how = jaccard.Similarity(3, 90, 100)
     rows = [(i, t) for i, (_, t) in enumerate(corpus(8, 3))]

@@ -37,6 +37,7 @@ from vacloom.llm.common import durable, numbered, written
 from vacloom.llm.components import components
 
 FILTER_BITS = 1 << 26  # of the filter that finds the documents whose sets are read; 8 MB
+SLICES = 64  # of the rows that repeat a document that stays
 BLOCK = 256  # nodes that are verified together
 SCAN_COST = 3.0  # what a posting in an inverted list costs, in rows of enumerated subsets
 
@@ -303,9 +304,23 @@ def classes(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str
 
 
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """Documents without all but the first (smallest id, then text) of each component; columns as they came."""
+    """Documents without all but the first (smallest id, then text) of each component; columns as they came.
+
+    Where rows with one id and one text are first, the one with the smallest other columns stays. Texts without
+    shingles have no copies, so all of them stay.
+    """
     found = linked(docs, how)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("f"))
-    kept = first.select(F.col("f.doc_id").alias("k_id"), F.col("f.text_hash").alias("k_hash")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_hash")), "left_semi")
-    return rows.select(*[docs[c] for c in docs.columns])
+    key = ["component", "doc_id", "text_hash"]
+    counted = found.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    first = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "rows", "n")).alias("f"))
+    kept = first.select(F.col("f.doc_id").alias("k_id"), F.col("f.text_hash").alias("k_hash"), ((F.col("f.rows") > 1) & (F.col("f.n") > 0)).alias("repeated"))
+    kept = durable(kept.distinct())
+    # Written, so that Spark knows their sizes: mostly no key is repeated, and texts are not shuffled for it.
+    once, repeated = (written(kept.filter(f).select("k_id", "k_hash"), "kept") for f in ("not repeated", "repeated"))
+    matches = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
+    single = docs.join(once, matches, "left_semi").select(docs.columns)
+    # The rows of a key are joined in slices and brought down to one within each task, however many there are.
+    sliced = docs.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(SLICES)).cast("int"))
+    asked = repeated.withColumn("_k_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    rows = sliced.join(asked, matches & (F.col("_slice") == F.col("_k_slice"))).groupBy("k_id", "k_hash").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return single.unionByName(rows.select("r.*"))
