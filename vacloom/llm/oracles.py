@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacloom.llm import chat, jaccard, quality, suffixes
+from vacloom.llm import chat, decontaminate, jaccard, lexical, quality, suffixes
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,3 +62,48 @@ def chat_sql() -> str:
     CAST(coalesce(sum(length(text)) FILTER (role = '{chat.ASSISTANT}'), 0) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = '{chat.ASSISTANT}'), '')) AS loss_sha256,
     CAST(sum(upto) FILTER (role = '{chat.ASSISTANT}' OR i = n) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+
+
+def lexical_sql(k: int = lexical.K) -> str:
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+  WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, {terms} AS ws FROM documents),
+  t AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(ws) AS term FROM d) GROUP BY 1, 2),
+  s AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+  m AS (SELECT row_id, doc_id, 10 + ((90 * len(ws)::BIGINT * n_docs) // n_terms) AS m FROM d, s WHERE len(ws) > 0),
+  q AS (SELECT DISTINCT item, item_id, term FROM (SELECT item, item_id, unnest(ws) AS term FROM (SELECT row_number() OVER () AS item, item_id, {terms} AS ws FROM benchmark))),
+  f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM t SEMI JOIN q USING (term) GROUP BY 1), s),
+  r AS (SELECT item, item_id, row_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (row_id) GROUP BY 1, 2, 3, 4),
+  o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, row_id)::INTEGER AS rank FROM r WHERE score > 0)
+  SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {k}"""
+
+
+def contamination_sql(width: int = decontaminate.WIDTH) -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{decontaminate.WORD}')"
+    return f"""
+  WITH b AS (SELECT item_id, {words} AS ws FROM benchmark),
+  i AS (SELECT DISTINCT item_id, size, array_to_string(ws[pos:pos + size - 1], ' ') AS k
+    FROM (SELECT item_id, ws, least(len(ws), {width}) AS size, unnest(range(1, greatest(len(ws) - {width - 1}, 1) + 1)) AS pos FROM b WHERE len(ws) > 0)),
+  d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+  z AS (SELECT DISTINCT size FROM i),
+  v AS (SELECT r, size, pos, array_to_string(ws[pos:pos + size - 1], ' ') AS k FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS pos FROM d, z)),
+  h AS (SELECT r, pos, size, item_id FROM v JOIN i USING (size, k)),
+  n AS (SELECT r, count(DISTINCT pos + j) AS n_hit FROM (SELECT r, pos, unnest(range(0, size)) AS j FROM h) GROUP BY 1),
+  g AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)"""
+
+
+def negatives_sql() -> str:
+    return """
+  WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  s AS (SELECT a.r, a.vec_id AS anchor_id, x.vec_id, x.r AS other, a.label = x.label AS same,
+      list_sum(list_transform(list_zip(a.w, x.w), lambda p: p[1] * p[2]))::BIGINT AS score FROM v a JOIN v x ON a.vec_id % 100 = 0 AND a.r <> x.r),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+  n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+      row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+    FROM p JOIN s ON p.r = s.r AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+  SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacloom.llm import binary, chat, jaccard, knn, mixing, oracles, packing, pii, quality, secrets, suffixes
+from vacloom.llm import binary, chat, decontaminate, jaccard, knn, lexical, mixing, negatives, oracles, packing, pii, quality, secrets, suffixes
 from vacloom.llm.common import table, word_count
 
 
@@ -71,6 +71,23 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.written_records(chat.prefix_target(given.unionByName(own))))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -82,12 +99,18 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_mixed_sources": op9_mixed_sources,
     "op10_prefix_targets": op10_prefix_targets,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE = {
     "op1_ngram_jaccard": oracles.jaccard_sql(jaccard.Similarity(3, 90, 100)),
     "op2_quality_rules": oracles.quality_sql(),
     "op8_repeated_passages": oracles.passages_sql(),
     "op10_prefix_targets": oracles.chat_sql(),
+    "op11_lexical_search": oracles.lexical_sql(),
+    "op12_decontamination": oracles.contamination_sql(),
+    "op13_hard_negatives": oracles.negatives_sql(),
     "op5_voronoi_knn": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings),
         s AS (
