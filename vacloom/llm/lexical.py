@@ -118,19 +118,33 @@ class Queries:
     terms: list  # of each query: places in the vocabulary
     weights: np.ndarray  # of the vocabulary
 
-    def blocks(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(queries, vocabulary places, weights by place and query) of at most ``QUERIES`` queries each."""
+    def blocks(self) -> list[tuple]:
+        """At most ``QUERIES`` queries each: (queries, their vocabulary places, and for each place where its rows begin;
+        rows of place by place: query of the block, weight)."""
         out = []
         for at in range(0, len(self.ids), QUERIES):
             own = np.arange(at, min(at + QUERIES, len(self.ids)))
-            places = np.unique(np.concatenate([self.terms[q] for q in own]))
-            table = np.zeros((len(places), len(own)), np.float32)
-            for j, q in enumerate(own):
-                table[np.searchsorted(places, self.terms[q]), j] = self.weights[self.terms[q]]
-            out.append((own, places, table))
+            place = np.concatenate([self.terms[q] for q in own])
+            query = np.repeat(np.arange(len(own)), [len(self.terms[q]) for q in own])
+            order = np.argsort(place, kind="stable")
+            places, begin = np.unique(place[order], return_index=True)
+            out.append((own, places, np.append(begin, len(place)), query[order], self.weights[place[order]].astype(np.float64)))
         return out
 
 
+def bounded(held: np.ndarray, n: np.ndarray, m: np.ndarray, block: tuple) -> np.ndarray:
+    """Upper bounds of the scores of documents (rows) for the queries of a block, from what their sketches hold at its places."""
+    own, _, begin, query, weight = block
+    doc, place = np.nonzero(held)
+    f = held[doc, place].astype(np.float64)
+    f = np.where(f == TOP, n[doc], f)
+    impact = 1e9 * f / (1000 * f + 8.0 * m[doc])
+    times = np.diff(begin)[place]
+    at = np.repeat(begin[place] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+    sums = np.bincount(np.repeat(doc, times) * len(own) + query[at], np.repeat(impact, times) * weight[at], len(held) * len(own))
+    return sums.reshape(len(held), len(own)) * (1 + 1e-12 * (len(weight) + 1))  # floats round; the bound has to hold
+
+
 def prepared(index: DataFrame, ids: list, texts: list, n_docs: int) -> Queries:
     hashes = [np.unique(words) for words in terms_of(pa.array(texts, pa.string()))]
     vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
@@ -167,7 +181,8 @@ def searched(index: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: i
             row, doc, n, names_type = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(1).type
             terms, tf, sketch = batch.column(3), batch.column(4), batch.column(5)
             m, width = lengths(n, n_docs, n_terms), np.array([len(s.as_buffer()) for s in sketch])
-            for own, places, table in blocks:
+            for block in blocks:
+                own, places = block[:2]
                 for w in np.unique(width):
                     rows = np.flatnonzero(width == w)
                     step = max(1, CELLS // max(int(w), len(places)))
@@ -175,11 +190,9 @@ def searched(index: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: i
                     for at in range(0, len(rows), step):
                         part = rows[at : at + step]
                         held = np.frombuffer(b"".join(sketch[int(i)].as_buffer() for i in part), np.uint8).reshape(len(part), w)[:, columns]
-                        f = np.where(held == TOP, n[part][:, None], held).astype(np.float32)
-                        impacts = 1e9 * f / (1000 * f + 8 * m[part].astype(np.float32)[:, None])
-                        bounds = (impacts @ table) * (1.00001 + 2e-7 * len(places)) + 1  # floats round; the bound has to hold
+                        bounds = bounded(held, n[part], m[part], block)
                         for j, q in enumerate(own):
-                            near = np.flatnonzero((bounds[:, j] >= threshold[q]) & (bounds[:, j] > 1))
+                            near = np.flatnonzero(bounds[:, j] >= max(1, threshold[q]))
                             near = near[np.argsort(-bounds[near, j], kind="stable")]
                             for p in near[:k] if few else near:
                                 if bounds[p, j] < threshold[q]:
