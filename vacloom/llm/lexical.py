@@ -38,7 +38,7 @@ from vacloom.llm.common import written
 
 K = 10
 PART_BYTES = 512 << 10  # of query texts searched together
-SPARSE = 4  # coordinates of a sketch for each distinct term, at least
+SPARSE = 16  # coordinates of a sketch for each distinct term, at least
 NARROW = 64  # coordinates of a sketch, at least
 TOP = 255  # the frequency from which a coordinate stands for any
 QUERIES = 256  # bounded together
