@@ -84,7 +84,9 @@ def test_bounds_hold_and_leave_documents_out(spark):
 def test_a_sketch_keeps_the_largest_frequency():
     terms = np.arange(0, 6400, 64, dtype=np.uint64)  # many share a coordinate
     tf = np.random.default_rng(1).integers(1, 400, 100)
-    sketch = lexical.sketch_of(terms, tf)
+    width, coordinates, values = lexical.sketch_of(terms, tf)
+    sketch = lexical.unfolded(width, [lexical.folded(coordinates, values), lexical.folded(coordinates.astype(np.uint32), values)])
+    assert (sketch[0] == sketch[1]).all()
     for t, f in zip(terms, tf):
-        assert sketch[int(t) % len(sketch)] >= min(f, lexical.TOP)
+        assert sketch[0, int(t) % width] >= min(f, lexical.TOP)
     assert sketch.max() == min(tf.max(), lexical.TOP)

@@ -56,17 +56,43 @@ def terms_of(column: pa.Array) -> Iterator[np.ndarray]:
             yield hashes[at[i] : at[i + 1]]
 
 
-def sketch_of(terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-    """Coordinatewise maxima of the frequencies, at most ``TOP``."""
+def narrow(values: np.ndarray, *kinds) -> np.ndarray:
+    """Values in the first of the kinds that holds them all."""
+    most = int(values.max(initial=0))
+    return values.astype(next(k for k in kinds if most <= np.iinfo(k).max))
+
+
+def sketch_of(terms: np.ndarray, tf: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Coordinatewise maxima of the frequencies, at most ``TOP``: width, and the coordinates that are not zero with their values."""
     width = max(NARROW, 1 << (SPARSE * len(terms) - 1).bit_length())
     out = np.zeros(width, np.uint8)
     order = np.argsort(tf, kind="stable")  # of equal coordinates the last value stays
     out[(terms[order] & np.uint64(width - 1)).astype(np.int64)] = np.minimum(tf[order], TOP)
+    filled = np.flatnonzero(out)
+    return width, narrow(filled, np.uint16, np.uint32), out[filled]
+
+
+def unfolded(width: int, sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width, stored as coordinates and values, as rows of coordinates."""
+    out = np.zeros((len(sketches), width), np.uint8)
+    for row, data in zip(out, sketches):
+        size = data[0]
+        n = (len(data) - 1) // size
+        row[np.frombuffer(data, np.uint16 if size == 3 else np.uint32, n, 1)] = np.frombuffer(data, np.uint8, n, 1 + n * (size - 1))
     return out
 
 
+def folded(coordinates: np.ndarray, values: np.ndarray) -> bytes:
+    """A first byte tells the bytes of an entry."""
+    return bytes([coordinates.itemsize + 1]) + coordinates.tobytes() + values.tobytes()
+
+
+def frequencies(data: bytes, terms: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == terms else np.uint32)
+
+
 def indexed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index, written: row_id, doc_id, n (terms with repeats), terms, tf and sketch of documents that have terms."""
+    """The index, written: row_id, doc_id, n (terms with repeats), terms, tf, width and sketch of documents that have terms."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +103,19 @@ def indexed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 for i, words in enumerate(terms_of(part.column(1))):
                     if len(words):
                         terms, tf = np.unique(words, return_counts=True)
+                        width, coordinates, values = sketch_of(terms, tf)
                         keep.append(i)
-                        out.append((row + i, len(words), terms.tobytes(), tf.astype(np.uint32).tobytes(), sketch_of(terms, tf).tobytes()))
+                        out.append((row + i, len(words), terms.tobytes(), narrow(tf, np.uint8, np.uint32).tobytes(), width, folded(coordinates, values)))
                 row += part.num_rows
                 if out:
-                    rows, n, terms, tf, sketch = zip(*out)
+                    rows, n, terms, tf, widths, sketch = zip(*out)
                     yield pa.record_batch([
                         pa.array(rows, pa.int64()), part.column(0).take(pa.array(keep)), pa.array(n, pa.int64()), pa.array(terms, pa.binary()),
-                        pa.array(tf, pa.binary()), pa.array(sketch, pa.binary())], ["row_id", "doc_id", "n", "terms", "tf", "sketch"])
+                        pa.array(tf, pa.binary()), pa.array(widths, pa.int64()), pa.array(sketch, pa.binary())],
+                        ["row_id", "doc_id", "n", "terms", "tf", "width", "sketch"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(index, f"row_id long, doc_id {kind}, n long, terms binary, tf binary, sketch binary"), "lexical")
+    return written(rows.mapInArrow(index, f"row_id long, doc_id {kind}, n long, terms binary, tf binary, width long, sketch binary"), "lexical")
 
 
 def document_frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -179,8 +207,8 @@ def searched(index: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: i
         weights = [queries.weights[t] for t in queries.terms]
         for batch in batches:
             row, doc, n, names_type = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(1).type
-            terms, tf, sketch = batch.column(3), batch.column(4), batch.column(5)
-            m, width = lengths(n, n_docs, n_terms), np.array([len(s.as_buffer()) for s in sketch])
+            terms, tf, width, sketch = batch.column(3), batch.column(4), batch.column(5).to_numpy(), batch.column(6)
+            m = lengths(n, n_docs, n_terms)
             for block in blocks:
                 own, places = block[:2]
                 for w in np.unique(width):
@@ -189,7 +217,7 @@ def searched(index: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: i
                     columns = (queries.vocabulary[places] & np.uint64(w - 1)).astype(np.int64)
                     for at in range(0, len(rows), step):
                         part = rows[at : at + step]
-                        held = np.frombuffer(b"".join(sketch[int(i)].as_buffer() for i in part), np.uint8).reshape(len(part), w)[:, columns]
+                        held = unfolded(int(w), [sketch[int(i)].as_py() for i in part])[:, columns]
                         bounds = bounded(held, n[part], m[part], block)
                         for j, q in enumerate(own):
                             near = np.flatnonzero(bounds[:, j] >= max(1, threshold[q]))
@@ -198,9 +226,8 @@ def searched(index: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: i
                                 if bounds[p, j] < threshold[q]:
                                     break
                                 i, rescored = int(part[p]), rescored + 1
-                                score = exact_score(
-                                    np.frombuffer(terms[i].as_buffer(), np.uint64), np.frombuffer(tf[i].as_buffer(), np.uint32),
-                                    int(m[i]), hashes[q], weights[q])
+                                held_terms = np.frombuffer(terms[i].as_buffer(), np.uint64)
+                                score = exact_score(held_terms, frequencies(tf[i].as_py(), len(held_terms)), int(m[i]), hashes[q], weights[q])
                                 if score < max(1, threshold[q]):
                                     continue
                                 name = doc[i].as_py()
@@ -216,7 +243,7 @@ def searched(index: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: i
             pa.array(item, pa.int64()), pa.array(score, pa.int64()), pa.array(names, names_type), pa.array(place, pa.int64()),
             pa.array([rescored] + [0] * (len(out) - 1) if out else [], pa.int64())], ["item", "score", "doc_id", "row_id", "rescored"])
 
-    return index.select("row_id", "doc_id", "n", "terms", "tf", "sketch").mapInArrow(
+    return index.select("row_id", "doc_id", "n", "terms", "tf", "width", "sketch").mapInArrow(
         search, f"item long, score long, doc_id {kind}, row_id long, rescored long")
 
 
