@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from vacloom.streaming import feed, stateful
+from vacloom.streaming.seen import KeyedLog
 
 
 def parts(spark, folder, schema, *batches):
@@ -36,9 +37,36 @@ def test_two_misses_close_within_their_hours(spark, tmp_path):
         (3, "a", at(0), False), (3, "b", at(3), False), (3, "c", at(4, 1), False),  # the clock starts again at b
         (4, "a", at(0), False), (4, "a", at(1, 6), False),  # the same run twice
     ]
-    stream = parts(spark, tmp_path, "job int, run string, ts timestamp, seen boolean", rows[:8], rows[8:])
-    got = feed.run_available(stateful.closed_after_misses(stream, ["job"], "ts", "run", "seen"))
-    assert sorted((r.job, r.closed_at) for r in got.collect()) == [(1, at(1, 6)), (3, at(4, 1))]
+    later = [(9, "z", at(60), True)]  # moves the clock past all others
+    want = [(1, at(1, 6)), (3, at(4, 1))]
+    for name, batches in (("a", [rows[:8], rows[8:], later]), ("b", [rows[::-2], rows[1::2][::-1] + rows[:1], later])):
+        stream = parts(spark, tmp_path / name, "job int, run string, ts timestamp, seen boolean", *batches)
+        got = feed.run_available(stateful.closed_after_misses(stream, ["job"], "ts", "run", "seen", delay="30 days"))
+        assert sorted((r.job, r.closed_at) for r in got.collect()) == want
+
+
+def test_state_of_misses_ends(spark, tmp_path):
+    rows = [(i, "a", at(0), False) for i in range(50)]
+    stream = parts(spark, tmp_path, "job int, run string, ts timestamp, seen boolean", rows, [(99, "b", at(20), True)], [(99, "c", at(40), True)])
+    started = stateful.closed_after_misses(stream, ["job"], "ts", "run", "seen").writeStream.format("noop").option(
+        "checkpointLocation", f"{tmp_path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    started.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in started.recentProgress if p["stateOperators"]]
+    assert max(held) >= 50 and held[-1] < 10
+
+
+def test_a_batch_opens_only_buckets_that_may_hold_its_keys(spark, tmp_path):
+    log = KeyedLog(spark, str(tmp_path), ["id"], "id long, v string")
+    for number in range(20):
+        rows = spark.range(number * 100, number * 100 + 100).select("id", F.lit(f"b{number}").alias("v"))
+        assert log.unseen(rows, number).count() == 100
+        assert len(log.opened) == 0  # newer ids than any stored
+        log.add(rows, number)
+    assert log.generations(20) == [(0, 16), (0, 17), (0, 18), (0, 19), (1, 0), (1, 1)]
+    again = spark.createDataFrame([(5, "x"), (1950, "x"), (5000, "x")], "id long, v string")
+    assert sorted(r.id for r in log.unseen(again, 20).collect()) == [5000] and len(log.opened) == 2
+    assert sorted(map(tuple, log.matching(again, 20).collect())) == [(5, "b0"), (1950, "b19")]
+    assert len(log.generations(4096)) == 1 and len(log.generations(4095)) == 4 * 7
 
 
 def test_signals_expire_by_the_clock_of_the_stream(spark, tmp_path):

@@ -16,7 +16,7 @@ URL_PATTERN = (
 TRACKING_PARAMETERS = ["gh_src", "lever-source", "source", "ref", "referrer", "trk"]
 
 # An extract of the public suffix list, ICANN and private entries, for tests and as a
-# table to start from. Operators take the list as a table of any length (column ``suffix``).
+# list to start from. Operators take the rules as a table of any length (suffix_rules()).
 PUBLIC_SUFFIXES = [
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp",
     "ne.jp", "or.jp", "co.kr", "co.in", "net.in", "org.in", "com.br", "com.mx", "com.ar",
@@ -157,47 +157,51 @@ def host_suffixes(host: Column) -> Column:
 VALID_HOST = "^(?=.{1,253}$)([a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?\\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
 
 
-def registrable_domain(value: Column, suffixes: list[str] | None = None) -> Column:
-    """Public suffix plus one label, empty for addresses, bare names and suffixes."""
-    listed = F.lit(" " + " ".join(suffixes or PUBLIC_SUFFIXES) + " ")
+def suffix_rules(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(suffix, kind) for the lines of a public suffix list: plain, wildcard (``*.ck``) or exception (``!www.ck``).
 
-    def domain(labels: Column) -> Column:
-        size = F.size(labels)
-        tails = F.transform(labels, lambda label, i: F.array_join(F.slice(labels, i + 1, size), "."))
-        known = F.filter(tails, lambda tail: listed.contains(F.concat(F.lit(" "), tail, F.lit(" "))))
-        # Without a listed suffix the last label is the suffix.
-        start = F.when(F.size(known) > 0, F.array_position(tails, F.get(known, F.lit(0)))).otherwise(size)
-        return F.when(start > 1, F.get(tails, (start - 2).cast("int"))).otherwise(F.lit(""))
-
-    def usable(host: Column) -> Column:
-        return host.rlike(VALID_HOST) & ~host.rlike("^[0-9.]+$")
-
-    return let(_host_of(value), lambda host: F.when(
-        usable(host), let(F.split(host, "\\."), domain)
-    ).otherwise(F.lit("")))
+    Comments and blank lines give no rule; what follows white space on a line is no part of it.
+    """
+    rule = F.lower(F.regexp_extract(F.trim(F.col(column)), "^(\\S+)", 1))
+    rows = lines.select(rule.alias("_rule")).filter((F.col("_rule") != "") & ~F.col("_rule").startswith("//"))
+    kind = F.when(F.col("_rule").startswith("!"), "exception").when(F.col("_rule").startswith("*."), "wildcard").otherwise("plain")
+    return rows.select(F.regexp_replace("_rule", "^(!|\\*\\.)", "").alias("suffix"), kind.alias("kind")).distinct()
 
 
 def registrable_domains(hosts: DataFrame, host: str, suffixes: DataFrame, out: str) -> DataFrame:
-    """registrable_domain() against a suffix table (column ``suffix``), however long the list is."""
+    """Public suffix plus one label for each host or URL, empty for addresses, bare names and suffixes.
+
+    ``suffixes`` is a table of rules of any length, as suffix_rules() gives it (or a column ``suffix`` of a
+    list's lines). Each distinct value is looked up once, by an equi-join of its ends with the rules; an
+    exception wins over all others, then the longest rule; without a rule the last label is the suffix.
+    """
+    rules = suffixes if "kind" in suffixes.columns else suffix_rules(suffixes, "suffix")
     distinct = hosts.select(F.col(host)).distinct().withColumn("_clean", _host_of(F.col(host)))
-    exploded = distinct.select(host, "_clean", F.explode(host_suffixes(F.col("_clean"))).alias("suffix"))
-    longest = (
-        exploded.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
-        .groupBy(host)
-        .agg(F.max(F.size(F.split("suffix", "\\."))).alias("_n"))
-    )
+
+    def asked(end: Column, i: Column) -> Column:
+        labels, tails = F.size(F.split(end, "\\.")), host_suffixes(F.col("_clean"))
+        return F.array(
+            F.struct(end.alias("suffix"), F.lit("plain").alias("kind"), labels.alias("n")),
+            F.struct(end.alias("suffix"), F.lit("exception").alias("kind"), (labels - 1).alias("n")),
+            # A wildcard stands for one label in front of its suffix.
+            F.struct(F.get(tails, i + 1).alias("suffix"), F.lit("wildcard").alias("kind"), labels.alias("n")))
+
+    ends = F.flatten(F.transform(host_suffixes(F.col("_clean")), asked))
+    exploded = distinct.select(host, F.explode(ends).alias("_e")).select(host, "_e.*")
+    chosen = exploded.join(rules.select("suffix", "kind").distinct(), ["suffix", "kind"]).groupBy(F.col(host).alias("_asked")).agg(
+        F.max(F.struct((F.col("kind") == "exception").alias("exception"), "n")).alias("_rule"))
     labels = F.split("_clean", "\\.")
-    n = F.coalesce(F.col("_n"), F.lit(1))
+    n = F.coalesce(F.col("_rule.n"), F.lit(1))
     usable = (
         F.col("_clean").rlike(VALID_HOST)
         & ~F.col("_clean").rlike("^[0-9.]+$")
         & (F.size(labels) > n)
     )
-    named = distinct.join(longest, host, "left").select(
-        host,
+    named = distinct.join(chosen, F.col(host) == F.col("_asked"), "left").select(
+        F.col(host).alias("_host"),
         F.when(usable, F.array_join(F.slice(labels, F.size(labels) - n, n + 1), ".")).otherwise("").alias(out),
     )
-    return hosts.join(named, host, "left")
+    return hosts.join(named, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
 
 
 def with_domains(df: DataFrame, columns: dict[str, str], suffixes: DataFrame) -> DataFrame:
@@ -212,9 +216,10 @@ def with_domains(df: DataFrame, columns: dict[str, str], suffixes: DataFrame) ->
     return df
 
 
-def suffix_table(spark: SparkSession, more: list[str] | None = None) -> DataFrame:
-    """The extract, and further entries, as a table."""
-    return spark.createDataFrame([(s,) for s in [*PUBLIC_SUFFIXES, *(more or [])]], "suffix string")
+def suffix_table(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """The rules of the extract, and those of further lines of a list (column ``value``)."""
+    lines = spark.createDataFrame([(s,) for s in PUBLIC_SUFFIXES], "value string")
+    return suffix_rules(lines if more is None else lines.unionByName(more.select("value")))
 
 
 def same_site(left: Column, right: Column) -> Column:

@@ -114,7 +114,8 @@ def movement_evidence(companies: DataFrame, jobs: DataFrame, changes: DataFrame)
 
 def role_summaries(evidence: DataFrame, keys: list[str], shown: int = 3) -> DataFrame:
     """First titles of every movement, joined; the remainder is stated by its count."""
-    first = top_in_group(evidence, keys, [F.col("title").asc(), F.col("job_id").asc(), F.col("change_type")], shown)
+    # Evidence is a written table, so nothing has dealt it by these keys yet.
+    first = top_in_group(evidence, keys, [F.col("title").asc(), F.col("job_id").asc(), F.col("change_type")], shown, dealt=False)
     ordered = F.sort_array(F.collect_list(F.struct("_rank", "title")))
     return first.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["title"]), ", ").alias("_titles"))
 
@@ -146,6 +147,23 @@ def day_movements(evidence: DataFrame, keys: list[str]) -> DataFrame:
     }).drop("_titles")
 
 
+def company_movement_id() -> Column:
+    return F.concat(F.lit("movement:company:"), F.col("day").cast("string"), F.lit(":"), F.col("company_id").cast("string"))
+
+
+def sector_movement_id() -> Column:
+    return F.concat(F.lit("movement:sector:"), F.col("day").cast("string"), F.lit(":"), slug(F.col("sector")))
+
+
+def evidence_lists(evidence: DataFrame, movement_id: Column) -> DataFrame:
+    """The evidence and the distinct source URLs of movements as rows by movement id, however many one has."""
+    events = evidence.select(
+        movement_id.alias("id"), F.concat(F.lit("evidence:"), "change_type", F.lit(":"), F.col("job_id").cast("string")).alias("item"),
+        F.col("title").alias("about"), F.col("source_url").alias("url"))
+    sources = evidence.select(movement_id.alias("id"), F.lit("source").alias("item"), F.lit(None).cast("string").alias("about"), F.col("source_url").alias("url"))
+    return events.unionByName(sources.distinct())
+
+
 def _counted(number: Column, one: str, many: str) -> Column:
     return F.when(number == 1, F.lit(one)).otherwise(F.lit(many))
 
@@ -159,7 +177,7 @@ def company_day_movements(evidence: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit(" changed "), F.col("evidence_count"), F.lit(" "), _counted(F.col("evidence_count"), "role", "roles")))
     )
     return moved.withColumns({
-        "id": F.concat(F.lit("movement:company:"), F.col("day").cast("string"), F.lit(":"), F.col("company_id").cast("string")),
+        "id": company_movement_id(),
         "group": F.lit("company"),
         "title": F.concat(F.col("name"), title),
     })
@@ -174,7 +192,7 @@ def sector_day_movements(evidence: DataFrame) -> DataFrame:
         .otherwise(F.concat(sector, F.lit(" hiring changed across "), F.col("evidence_count"), F.lit(" roles")))
     )
     return moved.withColumns({
-        "id": F.concat(F.lit("movement:sector:"), F.col("day").cast("string"), F.lit(":"), slug(sector)),
+        "id": sector_movement_id(),
         "group": F.lit("sector"),
         "title": title,
     })

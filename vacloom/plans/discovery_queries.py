@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import AS_OF, role, table, with_roles
+from ..bindings import AS_OF, domain_rules, role, table, with_roles
 from ..operators import discovery as op
-from ..functions.urls import suffix_table
 from .catalog import query
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -208,7 +207,7 @@ def elapsed_percentiles(spark, sf_dir):
     return op.nearest_rank(rows, ["l_returnflag"], "elapsed", {"median": 0.5, "p75": 0.75})
 
 
-INPUT = """SELECT 'https://www.site' || CAST(o_custkey AS STRING) || '.co.uk/x' AS website_url, 'Company ' || CAST(o_orderkey AS STRING) AS company_name,
+INPUT = """SELECT 'https://www.site' || CAST(o_custkey AS STRING) || CASE o_custkey % 3 WHEN 0 THEN '.co.uk/x' WHEN 1 THEN '.co.n9/x' ELSE '.town.n7/x' END AS website_url, 'Company ' || CAST(o_orderkey AS STRING) AS company_name,
     CASE WHEN o_orderkey % 50 = 0 THEN 'explicit_startup' ELSE 'directory' END AS classification, 'k' || CAST(o_orderkey % 5 AS STRING) AS source_id,
     CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'pending' END AS review_status,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'prohibited' ELSE 'permitted' END AS permission_status, o_orderkey AS position FROM {orders}"""
@@ -223,7 +222,7 @@ INPUT = """SELECT 'https://www.site' || CAST(o_custkey AS STRING) || '.co.uk/x'
 def measurement_inputs(spark, sf_dir):
     table(spark, sf_dir, "region")
     records = spark.sql(INPUT.format(orders=f"parquet.`{sf_dir}/orders.parquet`"))
-    return op.dense_index(op.measurement_inputs(records, suffix_table(spark)), "domain").select(
+    return op.dense_index(op.measurement_inputs(records, domain_rules(spark, sf_dir)), "domain").select(
         "input_index", "domain", "company_name", "classification", "sources"
     )
 

@@ -68,6 +68,8 @@ EVIDENCE = f"""
       row_number() OVER (PARTITION BY CAST(occurred_at AS DATE), entity_id, change_type ORDER BY occurred_at DESC, id DESC) AS nth
     FROM change_role WHERE change_type IN ('job_opened', 'job_closed')) e
   JOIN job_role j ON j.job_id = e.entity_id JOIN company_role c ON c.company_id = j.company_id WHERE nth = 1"""
+#: Evidence is computed once, whatever reads it.
+ONCE = f", evidence AS MATERIALIZED ({EVIDENCE})"
 COUNTS = """count(*) FILTER (WHERE change_type = 'job_opened') AS opened,
     count(*) FILTER (WHERE change_type = 'job_closed') AS closed, count(*) AS evidence_count,
     count(DISTINCT source_url) AS source_url_count, count(DISTINCT company_id) AS company_count,
@@ -84,7 +86,7 @@ COMPANY_DAY = f"""
       WHEN opened = 0 THEN ' closed ' || closed || CASE WHEN closed = 1 THEN ' role' ELSE ' roles' END
       ELSE ' changed ' || evidence_count || ' roles' END AS title,
     {TEXT} AS description, sector, opened, closed, opened - closed AS net, evidence_count, source_url_count, company_count
-  FROM (SELECT day, company_id, name, sector, {COUNTS} FROM ({EVIDENCE}) GROUP BY day, company_id, name, sector)"""
+  FROM (SELECT day, company_id, name, sector, {COUNTS} FROM evidence GROUP BY day, company_id, name, sector)"""
 SECTOR_DAY = f"""
   SELECT 'movement:sector:' || strftime(day, '%Y-%m-%d') || ':' || {SLUG.format('sector')} AS id,
     strftime(day, '%Y-%m-%d') AS day, {TYPE} AS type,
@@ -92,7 +94,7 @@ SECTOR_DAY = f"""
       WHEN opened = 0 THEN closed || ' ' || sector || CASE WHEN closed = 1 THEN ' posting' ELSE ' postings' END || ' closed'
       ELSE sector || ' hiring changed across ' || evidence_count || ' roles' END AS title,
     {TEXT} AS description, sector, opened, closed, opened - closed AS net, evidence_count, source_url_count, company_count
-  FROM (SELECT day, sector, {COUNTS} FROM ({EVIDENCE}) GROUP BY day, sector)"""
+  FROM (SELECT day, sector, {COUNTS} FROM evidence GROUP BY day, sector)"""
 FUNDING = f"""
   SELECT id, strftime(occurred_at, '%Y-%m-%d') AS day, 'funding' AS type, title, description, {SECTOR} AS sector,
     0 AS opened, 0 AS closed, 0 AS net, 1 AS evidence_count, 1 AS source_url_count, 1 AS company_count
@@ -111,17 +113,30 @@ def movement_evidence(spark, sf_dir):
     )
 
 
-@query("movements_company_day", roles(COMPANY_DAY))
+LISTED = """SELECT {id} AS id, 'evidence:' || change_type || ':' || job_id AS item, title AS about, source_url AS url FROM evidence
+  UNION SELECT {id}, 'source', NULL, source_url FROM evidence"""
+
+
+@query("movement_evidence_lists", roles(f"""{ONCE}
+  {LISTED.format(id="'movement:company:' || strftime(day, '%Y-%m-%d') || ':' || company_id")}
+  UNION ALL {LISTED.format(id="'movement:sector:' || strftime(day, '%Y-%m-%d') || ':' || " + SLUG.format('sector'))}"""))
+def movement_evidence_lists(spark, sf_dir):
+    """What each movement is counted from: its events with their titles, and its distinct source URLs."""
+    evidence = op.movement_evidence(*three(spark, sf_dir))
+    return op.evidence_lists(evidence, op.company_movement_id()).unionByName(op.evidence_lists(evidence, op.sector_movement_id()))
+
+
+@query("movements_company_day", roles(ONCE + COMPANY_DAY))
 def movements_company_day(spark, sf_dir):
     return shown(op.company_day_movements(op.movement_evidence(*three(spark, sf_dir))))
 
 
-@query("movements_sector_day", roles(SECTOR_DAY))
+@query("movements_sector_day", roles(ONCE + SECTOR_DAY))
 def movements_sector_day(spark, sf_dir):
     return shown(op.sector_day_movements(op.movement_evidence(*three(spark, sf_dir))))
 
 
-@query("movements_several_companies", roles(f"SELECT id, company_count FROM ({SECTOR_DAY}) WHERE company_count > 1"))
+@query("movements_several_companies", roles(f"{ONCE} SELECT id, company_count FROM ({SECTOR_DAY}) WHERE company_count > 1"))
 def movements_several_companies(spark, sf_dir):
     moved = op.sector_day_movements(op.movement_evidence(*three(spark, sf_dir)))
     return moved.filter("company_count > 1").select("id", "company_count")
@@ -133,18 +148,18 @@ def movements_funding(spark, sf_dir):
     return shown(op.funding_movements(companies, changes))
 
 
-@query("movements_all_groups", roles(f"{COMPANY_DAY} UNION ALL {SECTOR_DAY} UNION ALL {FUNDING}"))
+@query("movements_all_groups", roles(f"{ONCE} {COMPANY_DAY} UNION ALL {SECTOR_DAY} UNION ALL {FUNDING}"))
 def movements_all_groups(spark, sf_dir):
     return shown(op.by_weight(op.market_movements(*three(spark, sf_dir))))
 
 
-@query("movements_sector_with_funding", roles(f"SELECT id, type, day FROM ({SECTOR_DAY} UNION ALL {FUNDING})"))
+@query("movements_sector_with_funding", roles(f"{ONCE} SELECT id, type, day FROM ({SECTOR_DAY} UNION ALL {FUNDING})"))
 def movements_sector_with_funding(spark, sf_dir):
     moved = op.market_movements(*three(spark, sf_dir), group="sector", funding_with_sectors=True)
     return op.by_day(moved).select("id", "type", F.col("day").cast("string").alias("day"))
 
 
-@query("movements_between", roles(f"""
+@query("movements_between", roles(f"""{ONCE}
   SELECT id, day, type, net FROM ({COMPANY_DAY} UNION ALL {FUNDING})
   WHERE day > '2000-03-01' AND day < '2000-09-01' AND type = 'mixed' AND lower(sector) = 'healthcare'
     OR day > '2000-03-01' AND day < '2000-09-01' AND type = 'funding' AND lower(sector) = 'healthcare'"""))
@@ -155,7 +170,7 @@ def movements_between(spark, sf_dir):
     return op.by_day(mixed.unionByName(funding)).select("id", F.col("day").cast("string").alias("day"), "type", "net")
 
 
-@query("movements_matching_text", roles(f"""
+@query("movements_matching_text", roles(f"""{ONCE}
   SELECT id FROM ({COMPANY_DAY}) WHERE (lower(title) LIKE '%customer#000000013%')
     AND (lower(description) LIKE '%engineer%' OR lower(title) LIKE '%engineer%' OR lower(sector) LIKE '%engineer%')"""))
 def movements_matching_text(spark, sf_dir):

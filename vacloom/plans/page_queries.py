@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import role, table, with_roles
+from ..bindings import SUFFIX_LINES, domain_rules, role, table, with_roles
 from ..functions import text as t
 from ..functions import urls as u
 from ..operators import discovery, funding
@@ -50,9 +50,8 @@ def page_text(spark, sf_dir):
   SELECT page_id, regexp_replace(host, '^www\\.', '') AS host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain
   FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)""")
 def page_hosts(spark, sf_dir):
-    return pages(spark, sf_dir).select(
-        "page_id", u.bare_host(F.col("url")).alias("host"), u.registrable_domain(F.col("url")).alias("domain")
-    )
+    found = u.registrable_domains(pages(spark, sf_dir), "url", domain_rules(spark, sf_dir), "domain")
+    return found.select("page_id", u.bare_host(F.col("url")).alias("host"), "domain")
 
 
 @query("page_hosts_by_suffix_table", """
@@ -65,6 +64,28 @@ def page_hosts_by_suffix_table(spark, sf_dir):
     return u.registrable_domains(hosts, "host", suffixes, "domain").select("page_id", "domain")
 
 
+NATION_HOST = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'shop.cust' || CAST(c_custkey AS STRING) || '.co.n' WHEN 1 THEN 'cust' || CAST(c_custkey AS STRING) || '.n'
+    WHEN 2 THEN 'www.n' WHEN 3 THEN 'a.b' || CAST(c_custkey AS STRING) || '.www.n' ELSE 'n' END || CAST(c_nationkey AS STRING) AS host FROM {customer}"""
+
+
+@query("customer_domains_by_rules", f"""
+  WITH h AS (SELECT c_custkey, host, string_split(host, '.') AS labels FROM ({NATION_HOST.format(customer='customer')})),
+  r AS (SELECT CASE WHEN value LIKE '!%' THEN 'exception' WHEN value LIKE '*%' THEN 'wildcard' ELSE 'plain' END AS kind, regexp_replace(value, '^(!|\\*\\.)', '') AS suffix
+    FROM ({SUFFIX_LINES.format(nation='nation')})),
+  t AS (SELECT c_custkey, array_to_string(labels[i:], '.') AS ending, array_to_string(labels[i + 1:], '.') AS rest, len(labels) - i + 1 AS n
+    FROM (SELECT c_custkey, labels, unnest(range(1, len(labels) + 1)) AS i FROM h)),
+  m AS (SELECT c_custkey, true AS exception, n - 1 AS n FROM t JOIN r ON kind = 'exception' AND suffix = ending
+    UNION ALL SELECT c_custkey, false, n FROM t JOIN r ON kind = 'plain' AND suffix = ending
+    UNION ALL SELECT c_custkey, false, n FROM t JOIN r ON kind = 'wildcard' AND suffix = rest),
+  c AS (SELECT c_custkey, coalesce(max(n) FILTER (exception), max(n)) AS n FROM m GROUP BY 1)
+  SELECT h.c_custkey, CASE WHEN len(labels) > coalesce(n, 1) THEN array_to_string(labels[len(labels) - coalesce(n, 1):], '.') ELSE '' END AS domain
+  FROM h LEFT JOIN c USING (c_custkey)""")
+def customer_domains_by_rules(spark, sf_dir):
+    pages(spark, sf_dir)
+    hosts = spark.sql(NATION_HOST.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
+    return u.registrable_domains(hosts, "host", domain_rules(spark, sf_dir), "domain").select("c_custkey", "domain")
+
+
 @query("page_canonical_urls", """
   SELECT page_id, base || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical FROM (
     SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+/?([?#].*)?$') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/'
@@ -111,7 +132,7 @@ def board_candidates(spark, sf_dir):
   SELECT 'careers.other' || board_no || '.com' AS host, count(DISTINCT 'example.org') AS domains, count(DISTINCT url) AS pages,
     count(*) AS occurrences, 'apply_path,jobs_path' AS signals FROM ({BOARD_LINK.format(lineitem='lineitem')}) WHERE kind = 4 GROUP BY board_no""")
 def unsupported_host_leads(spark, sf_dir):
-    links = op.external_links(board_links(spark, sf_dir).withColumnRenamed("site", "page_id"), u.suffix_table(spark))
+    links = op.external_links(board_links(spark, sf_dir).withColumnRenamed("site", "page_id"), domain_rules(spark, sf_dir))
     return discovery.host_leads(links).select(
         "host", "domains", "pages", "occurrences", F.array_join("signals", ",").alias("signals")
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import table
+from ..bindings import domain_rules, table
 from ..operators import registry as op
-from ..functions.urls import suffix_table
 from .catalog import query
 
-SITE = "'https://www.co' || CAST(o_custkey AS STRING) || '.com/'"
+# Every eighth company's host ends in a suffix that only the nations' rules know.
+SITE = "'https://www.co' || CAST(o_custkey AS STRING) || CASE WHEN o_custkey % 8 = 3 THEN '.co.n9/' WHEN o_custkey % 8 = 4 THEN '.town.n7/' ELSE '.com/' END"
 RECORD = f"""SELECT o_orderkey AS record_id, o_orderkey AS position, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE 'Co  ' || CAST(o_orderkey AS STRING) END AS company_name,
     CASE WHEN o_orderkey % 19 = 0 THEN 'http://co.com' ELSE {SITE} END AS website_url, 'https://dir.example.org/' || CAST(o_custkey AS STRING) AS evidence_url,
     CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 'https://terms.example.org/' END AS terms_url, 'permitted' AS permission_status,
@@ -35,7 +35,7 @@ def built(spark, sf_dir):
     acquisitions = records.filter("record_id % 13 = 0").select(
         "record_id", F.lit("buyer.com").alias("related_domain"), F.lit("acquired_by").alias("relation"), "evidence_url"
     )
-    return op.build_registry(records, aliases, acquisitions, suffix_table(spark))
+    return op.build_registry(records, aliases, acquisitions, domain_rules(spark, sf_dir))
 
 
 @query("registry_entries", f"""
@@ -81,7 +81,7 @@ def registry_resolution(spark, sf_dir):
     values = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(
         F.col("l_linenumber") == 1, F.concat(F.lit("alias"), F.col("l_orderkey") % 60, F.lit(".io"))
     ).otherwise(F.concat(F.lit("co"), "l_suppkey", F.lit(".com"))).alias("value")).distinct()
-    return op.resolve_domains(values, "value", parts["entries"], parts["aliases"], suffix_table(spark)).select("l_orderkey", "l_linenumber", "canonical_domain")
+    return op.resolve_domains(values, "value", parts["entries"], parts["aliases"], domain_rules(spark, sf_dir)).select("l_orderkey", "l_linenumber", "canonical_domain")
 
 
 @query("merged_candidates", """
@@ -106,7 +106,7 @@ def directory_companies(spark, sf_dir):
         F.concat(F.lit("ftp://x, http://site"), part, F.lit(".com/")).alias("website"),
         F.when(F.col("p_size") % 3 != 0, "Active").otherwise("Inactive").alias("status"), F.lit("W21").alias("batch"), part.alias("position"),
     )
-    return op.directory_evidence(rows, suffix_table(spark)).select(F.col("slug").cast("long").alias("n"), "name", "website_url")
+    return op.directory_evidence(rows, domain_rules(spark, sf_dir)).select(F.col("slug").cast("long").alias("n"), "name", "website_url")
 
 
 @query("chosen_websites", """
@@ -118,4 +118,4 @@ def chosen_websites(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), F.concat(
         F.lit("https://a"), key % 3, F.lit(".com/"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("p"), key % 5))
     ).alias("website"))
-    return op.choose_websites(rows, suffix_table(spark))[0]
+    return op.choose_websites(rows, domain_rules(spark, sf_dir))[0]

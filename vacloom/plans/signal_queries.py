@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import role, table, with_roles
+from ..bindings import domain_rules, role, table, with_roles
 from ..operators import signals as op
-from ..functions.urls import suffix_table
 from .catalog import query
 
 NOW = "2024-01-20 00:00:00"
@@ -19,7 +18,7 @@ def active_signals(spark, sf_dir):
 
 
 RECORD = """SELECT event_id AS position, CASE WHEN event_id % 31 = 0 THEN '-' ELSE 'sig' || CAST(event_id AS STRING) END AS id, 'Co' AS company_name,
-    CASE WHEN event_id % 29 = 0 THEN 'localhost' ELSE 'co.com' END AS company_domain, 'Engineer' AS role_function, 'Hiring' AS summary,
+    CASE WHEN event_id % 58 = 0 THEN 'localhost' WHEN event_id % 29 = 0 THEN 'co.n9' ELSE 'co.com' END AS company_domain, 'Engineer' AS role_function, 'Hiring' AS summary,
     CASE event_type WHEN 'error' THEN 'leak' ELSE 'rss' END AS source_kind, 'permitted' AS permission_status, 'https://co.com/a' AS source_url,
     CASE WHEN event_id % 23 = 0 THEN 'http://co.com/b' ELSE 'https://co.com/b' END AS evidence_url, 'https://co.com/c' AS rights_url, '' AS application_url,
     CAST(ts AS TIMESTAMP) AS observed_at, CAST(ts AS TIMESTAMP) AS last_verified_at, CAST(ts AS TIMESTAMP) + INTERVAL '12' DAY AS expires_at,
@@ -27,16 +26,16 @@ RECORD = """SELECT event_id AS position, CASE WHEN event_id % 31 = 0 THEN '-' EL
 
 
 @query("signal_import_refusals", f"""
-  SELECT position, CASE WHEN id = '-' THEN 'id must be a stable 3 to 160 character key' WHEN company_domain = 'localhost' THEN 'companyName and a registrable companyDomain are required'
+  SELECT position, CASE WHEN id = '-' THEN 'id must be a stable 3 to 160 character key' WHEN company_domain IN ('localhost', 'co.n9') THEN 'companyName and a registrable companyDomain are required'
     WHEN source_kind = 'leak' THEN 'sourceKind or permissionStatus is not allowed' WHEN evidence_url LIKE 'http:%' THEN 'source, evidence, rights, and optional application URLs must use HTTPS'
     WHEN last_verified_at > TIMESTAMP '{NOW}' + INTERVAL '5' MINUTE OR expires_at <= TIMESTAMP '{NOW}' THEN 'timestamps must describe a current signal expiring within 90 days'
     ELSE 'confidence must be an integer from 0 to 100' END AS reason FROM ({RECORD.format(events='events')})
-  WHERE id = '-' OR company_domain = 'localhost' OR source_kind = 'leak' OR evidence_url LIKE 'http:%' OR confidence > 100
+  WHERE id = '-' OR company_domain IN ('localhost', 'co.n9') OR source_kind = 'leak' OR evidence_url LIKE 'http:%' OR confidence > 100
     OR last_verified_at > TIMESTAMP '{NOW}' + INTERVAL '5' MINUTE OR expires_at <= TIMESTAMP '{NOW}'""")
 def signal_import_refusals(spark, sf_dir):
     table(spark, sf_dir, "region")
     records = spark.sql(RECORD.format(events=f"parquet.`{sf_dir}/events.parquet`"))
-    return op.split_import(records, NOW, suffix_table(spark))[1]
+    return op.split_import(records, NOW, domain_rules(spark, sf_dir))[1]
 
 
 SIGNAL = """SELECT o_orderkey AS signal_id, o_custkey AS company_id, 'cust' || CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE o_custkey END AS STRING) || '.com' AS company_domain,
@@ -65,7 +64,7 @@ def signal_rows(spark, sf_dir):
 def promoted(spark, sf_dir):
     jobs = role(spark, sf_dir, "job")
     done = jobs.filter("1 = 0").select(F.col("job_id").alias("signal_id"), "job_id", "company_id")
-    return op.promotions(signal_rows(spark, sf_dir), role(spark, sf_dir, "company"), role(spark, sf_dir, "source"), jobs, done, NOW, suffix_table(spark))
+    return op.promotions(signal_rows(spark, sf_dir), role(spark, sf_dir, "company"), role(spark, sf_dir, "source"), jobs, done, NOW, domain_rules(spark, sf_dir))
 
 
 @query("signal_promotions_recorded", with_roles("source", "job", "company", then=f"""

@@ -23,7 +23,8 @@ def rank_in_group(
     and shifted by the size of the slices before it, so a task holds one slice of one group.
     """
     names = [f"_slice{i}" for i in range(len(slices))]
-    sliced = df.withColumns({n: e for n, (e, _) in zip(names, slices)})
+    # Rows that a join has dealt by the keys would stay together: they are dealt by slice as well.
+    sliced = df.withColumns({n: e for n, (e, _) in zip(names, slices)}).repartition(*keys, *names)
     local = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
     numbered = sliced.withColumn("_local", local)
     sizes = sliced.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_size"))
@@ -57,21 +58,23 @@ def group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
 PARTS = 64
 
 
-def top_in_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+def top_in_group(df: DataFrame, keys: list[str], order: list[Column], k: int, dealt: bool = True) -> DataFrame:
     """First ``k`` rows per key, in two levels so that a hot key never meets whole in one task.
 
-    Each hash part of a key keeps its first ``k``; Spark applies that limit per task before the
-    shuffle. The parts' rows, ``k`` times their number at most, are then ranked by key.
+    Each hash part of a key keeps its first ``k``, and the parts' rows, ``k`` times their number at most, are
+    then ranked by key. Rows that a join may have dealt by the keys (``dealt``) are dealt by part first; for
+    others Spark applies the limit per task before the shuffle.
     """
     part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)).cast("int")
     first = Window.partitionBy(*keys, "_part").orderBy(*order)
-    parts = df.withColumn("_part", part).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k)
+    parted = df.withColumn("_part", part)
+    parts = (parted.repartition(*keys, "_part") if dealt else parted).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k)
     window = Window.partitionBy(*keys).orderBy(*order)
     return parts.drop("_part").withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k)
 
 
-def first_in_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return top_in_group(df, keys, order, 1).drop("_rank")
+def first_in_group(df: DataFrame, keys: list[str], order: list[Column], dealt: bool = True) -> DataFrame:
+    return top_in_group(df, keys, order, 1, dealt).drop("_rank")
 
 
 def plan_text(df: DataFrame) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
+from .seen import KeyedLog
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> DataFrame:
@@ -17,17 +18,17 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> Da
 def append_new(events: DataFrame, key: str, folder: str) -> DataFrame:
     """Run what is available of a stream into a table with one row per key, however late a repeat comes.
 
-    Each batch drops its own repeats and those the table holds already. A batch that is run again after a
-    failure writes to its own part of the table again, so nothing is stored twice.
+    Each batch drops its own repeats and those that the index of stored keys knows. A batch that is run again
+    after a failure writes to its own part of the table again, so nothing is stored twice.
     """
     spark, schema = events.sparkSession, events.schema
+    kind = dict(events.dtypes)[key]
 
     def store(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
-        if number:
-            known = batch.sparkSession.read.schema(schema).parquet(*[f"{folder}/table/batch={n}" for n in range(number)])
-            new = new.join(known.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+        seen = KeyedLog(batch.sparkSession, f"{folder}/seen", [key], f"{key} {kind}")
+        path = f"{folder}/table/batch={number}"
+        seen.unseen(batch.dropDuplicates([key]), number).write.mode("overwrite").parquet(path)
+        seen.add(batch.sparkSession.read.schema(schema).parquet(path).select(key), number)
 
     started = events.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()

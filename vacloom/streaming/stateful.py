@@ -5,42 +5,85 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .seen import KeyedLog
+
 DAY_MS = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Misses(StatefulProcessor):
+    """Outcomes of a key wait in a list until the watermark has passed them, and are then taken in order."""
+
+    def __init__(self, keys: list[str], at: str, run: str, seen: str):
+        self.keys, self.at, self.run, self.seen = keys, at, run, seen
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, run string, seen boolean")
+        self.clock = handle.getValueState("clock", "first_miss long, last_run string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            told = list(zip(part[self.at].to_numpy("datetime64[ms]").astype(int).tolist(), part[self.run].astype(str), part[self.seen].astype(bool)))
+            self.waiting.appendList([(at, run, seen) for at, run, seen in told])
+            for at in {t[0] for t in told}:
+                self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        first, last_run = self.clock.get() if self.clock.exists() else (None, None)
+        told = list(self.waiting.get()) if self.waiting.exists() else []
+        due, closed = sorted(t for t in told if t[0] <= now), []
+        for at, run, seen in due:
+            if run == last_run:
+                continue
+            last_run = run
+            if seen:
+                first = None
+            elif first is None or at - first > 2 * DAY_MS:
+                first = at
+            elif at - first >= DAY_MS:
+                closed.append((*key, pd.Timestamp(at, unit="ms")))
+                first = None
+        later = [t for t in told if t[0] > now]
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        # A clock that has run out starts anew with the next miss, as if there had been none.
+        if first is not None and now - first <= 2 * DAY_MS:
+            self.clock.update((first, last_run))
+            self.handle.registerTimer(first + 2 * DAY_MS + 1)
+        elif later:
+            self.clock.update((None, last_run))
+        else:
+            self.clock.clear()
+        if closed:
+            yield pd.DataFrame(closed, columns=[*self.keys, "closed_at"])
+
+    def close(self) -> None:
+        pass
 
 
-def closed_after_misses(outcomes: DataFrame, keys: list[str], at: str, run: str, seen: str) -> DataFrame:
+def closed_after_misses(outcomes: DataFrame, keys: list[str], at: str, run: str, seen: str, delay: str = "1 day") -> DataFrame:
     """Closures of postings that a fragile source misses twice, 24 to 48 hours apart.
 
     A miss starts a clock; a further one within a day only counts, one after two days starts the clock again,
     and one in between closes the posting. Being seen stops the clock. A run that is told again changes nothing.
+
+    Outcomes may come in any order within ``delay``; each is decided once the stream's clock has passed it. A
+    key holds the outcomes of the delay and a clock, and nothing once the clock has run out.
     """
     types = dict(outcomes.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last_run = state.get if state.exists else (None, None)
-        closed = []
-        for row in pd.concat(list(batches)).sort_values([at, run]).itertuples(index=False):
-            now, this_run = int(getattr(row, at).value // 1_000_000), str(getattr(row, run))
-            if this_run == last_run:
-                continue
-            last_run = this_run
-            if getattr(row, seen):
-                first = None
-            elif first is None or now - first > 2 * DAY_MS:
-                first = now
-            elif now - first >= DAY_MS:
-                closed.append((*key, getattr(row, at)))
-                first = None
-        state.update((first, last_run))
-        yield pd.DataFrame(closed, columns=[*keys, "closed_at"])
-
-    return outcomes.groupBy(*keys).applyInPandasWithState(
-        step, f"{schema}, closed_at timestamp", "first_miss long, last_run string", "append", GroupStateTimeout.NoTimeout)
+    outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = outcomes.withWatermark(at, delay).select(*keys, at, run, seen)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        _Misses(keys, at, run, seen), f"{schema}, closed_at timestamp", "append", "eventTime")
 
 
 def expired_signals(signals: DataFrame, key: str, at: str, expires: str, delay: str = "1 day") -> DataFrame:
@@ -64,11 +107,6 @@ def expired_signals(signals: DataFrame, key: str, at: str, expires: str, delay:
         step, f"{key} {kind}, expired_at timestamp", "due long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _before(spark: SparkSession, folder: str, number: int, schema) -> DataFrame | None:
-    paths = [f"{folder}/batch={n}" for n in range(number)]
-    return spark.read.schema(schema).parquet(*paths) if paths else None
-
-
 def _run(stream: DataFrame, folder: str, store) -> None:
     started = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
@@ -77,15 +115,16 @@ def _run(stream: DataFrame, folder: str, store) -> None:
 def take_in_snapshots(rows: DataFrame, run_keys: list[str], folder: str) -> DataFrame:
     """Snapshots of runs, each run once: rows of a run that an earlier batch brought are left out.
 
-    A batch run again after a failure replaces its own part, so rows and receipts agree at all times.
+    An index of the runs taken in is looked up by key. A batch run again after a failure replaces its own part,
+    so rows and receipts agree at all times.
     """
-    receipts = rows.select(*run_keys).schema
+    kinds = dict(rows.dtypes)
 
     def store(batch: DataFrame, number: int) -> None:
-        known = _before(batch.sparkSession, f"{folder}/receipts", number, receipts)
-        new = batch if known is None else batch.join(known, run_keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        new.select(*run_keys).distinct().write.mode("overwrite").parquet(f"{folder}/receipts/batch={number}")
+        taken = KeyedLog(batch.sparkSession, f"{folder}/receipts", run_keys, ", ".join(f"{k} {kinds[k]}" for k in run_keys))
+        path = f"{folder}/rows/batch={number}"
+        taken.unseen(batch, number).write.mode("overwrite").parquet(path)
+        taken.add(batch.sparkSession.read.schema(rows.schema).parquet(path).select(*run_keys).distinct(), number)
 
     _run(rows, folder, store)
     return rows.sparkSession.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
@@ -95,7 +134,7 @@ def watch_searches(jobs: DataFrame, searches: DataFrame, on: list[str], key: str
     """search_id, key, change for every job that enters or leaves a saved search.
 
     ``searches``: search_id and the columns ``on`` that a job has to equal. Only jobs that changed are looked
-    up; the last change of a job within a batch counts. Each batch writes its changes; membership is their sum.
+    up, in an index of what was told of them; the last change of a job within a batch counts. Each batch writes its changes; membership is their sum.
     """
     schema = searches.select("search_id").schema
     schema = f"search_id {schema[0].dataType.simpleString()}, {key} {dict(jobs.dtypes)[key]}, step int"
@@ -103,15 +142,14 @@ def watch_searches(jobs: DataFrame, searches: DataFrame, on: list[str], key: str
     def store(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), at).alias("s")).select(key, "s.*")
         member = newest.filter(open_).join(searches, on).select("search_id", key).distinct().withColumn("new", F.lit(1))
-        known = _before(batch.sparkSession, f"{folder}/changes", number, schema)
-        if known is None:
-            changed = member.select("search_id", key, F.col("new").alias("step"))
-        else:
-            held = known.join(newest.select(key), key, "left_semi").groupBy("search_id", key).agg(F.sum("step").alias("old"))
-            both = member.join(held, ["search_id", key], "full")
-            step = F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))
-            changed = both.select("search_id", key, step.cast("int").alias("step")).filter("step <> 0")
-        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+        log = KeyedLog(batch.sparkSession, f"{folder}/members", [key], schema)
+        held = log.matching(newest, number).groupBy("search_id", key).agg(F.sum("step").alias("old"))
+        both = member.join(held, ["search_id", key], "full")
+        step = F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))
+        changed = both.select("search_id", key, step.cast("int").alias("step")).filter("step <> 0")
+        path = f"{folder}/changes/batch={number}"
+        changed.write.mode("overwrite").parquet(path)
+        log.add(batch.sparkSession.read.schema(schema).parquet(path), number)
 
     _run(jobs, folder, store)
     told = jobs.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
