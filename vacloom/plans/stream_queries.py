@@ -50,7 +50,8 @@ def stream_enriched_events(spark, sf_dir):
 
 
 @query("stream_fragile_closures", """
-  WITH e AS (SELECT user_id, epoch_ms(ts) AS ms, event_type IN ('purchase', 'signup') AS seen, event_id FROM events),
+  WITH e AS (SELECT user_id, epoch_ms(ts) AS ms, event_type IN ('purchase', 'signup') AS seen, event_id FROM events
+    WHERE date_trunc('millisecond', ts) < date_trunc('millisecond', (SELECT max(ts) FROM events) - INTERVAL '1' DAY)),
   l AS (SELECT user_id, list_prepend({'ms': 0::BIGINT, 'seen': true, 'first': NULL::BIGINT, 'closed': 0::BIGINT},
       list({'ms': ms, 'seen': seen, 'first': NULL::BIGINT, 'closed': 0::BIGINT} ORDER BY ms, event_id)) AS steps FROM e GROUP BY user_id),
   r AS (SELECT user_id, list_reduce(steps, lambda a, x: {'ms': x.ms, 'seen': x.seen,
