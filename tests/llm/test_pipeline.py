@@ -91,5 +91,5 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry_module
 
     found, oracle = entry_module.queries(), entry_module.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in found if name[:2] == "op" and name[2:3].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in found if name[:2] == "op" and name[2:3].isdigit()}
     assert found["pipeline"] is corpus_pipeline.run and all(isinstance(sql, str) for sql in oracle.values())

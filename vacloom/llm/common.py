@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-__all__ = ["SPACE", "SPACE_CHARS", "WORD", "durable", "numbered", "running_sums", "shared_folder", "table", "word_array", "word_count", "written"]
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "discard", "durable", "numbered", "running_sums", "shared_folder", "table", "word_array", "word_count", "written", "written_at"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and keeps column pruning."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the table's folder, for ``discard`` once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table whose readers' results are checkpointed or written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def word_array(text: Column) -> Column:
@@ -55,7 +66,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, slices:
     Rows fall into slices by a hash of ``order``; each slice is numbered by itself and shifted by the sizes
     of the slices before it. The order has to be total for reruns to agree.
     """
-    rows = df.withColumn("_n_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    # Rows that a join has dealt by the keys would stay together: they are dealt by slice as well.
+    rows = df.withColumn("_n_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")).repartition(*keys, "_n_slice")
     sizes = rows.groupBy(*keys, "_n_slice").agg(F.count(F.lit(1)).alias("_n_size"))
     before = Window.partitionBy(*keys).orderBy("_n_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("_n_shift", F.coalesce(F.sum("_n_size").over(before), F.lit(0))).drop("_n_size")

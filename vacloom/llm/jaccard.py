@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacloom.llm import shingles
-from vacloom.llm.common import durable, numbered, written
+from vacloom.llm.common import discard, durable, numbered, written_at
 from vacloom.llm.components import components
 
 FILTER_BITS = 1 << 26  # of the filter that finds the documents whose sets are read; 8 MB
@@ -81,6 +81,11 @@ def boundary(sizes: np.ndarray, counts: np.ndarray, how: Similarity) -> int:
 
 def described(docs: DataFrame, how: Similarity, doc_id: str, text: str) -> DataFrame:
     """One row per document: row_id, id, hash of the text, set size, two hashes of the set and its first shingles."""
+    return described_at(docs, how, doc_id, text)[0]
+
+
+def described_at(docs: DataFrame, how: Similarity, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """As ``described``, with the table's folder."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +109,7 @@ def described(docs: DataFrame, how: Similarity, doc_id: str, text: str) -> DataF
             row += len(n)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return written(rows.mapInArrow(describe, f"row_id long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, first binary"), "shingles")
+    return written_at(rows.mapInArrow(describe, f"row_id long, doc_id {kind}, text_hash long, n long, h1 long, h2 long, first binary"), "shingles")
 
 
 def _unpacked(nodes: DataFrame, packed: str, keys_of) -> DataFrame:
@@ -238,17 +243,24 @@ def _document_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text)))
 
 
-def _key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each possible remainder of a key; of a fixed size, whatever the number of keys."""
+def _filter_words(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each possible remainder of a key; at most ``FILTER_BITS`` / 64 rows, whatever the number of keys."""
     place = F.pmod("key", F.lit(FILTER_BITS))
-    words = keys.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    found, out = words.toPandas(), np.zeros(FILTER_BITS // 64, np.int64)
+    return keys.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))")).alias("bits"))
+
+
+def _key_filter(keys: DataFrame) -> np.ndarray:
+    found, out = _filter_words(keys).toPandas(), np.zeros(FILTER_BITS // 64, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, how: Similarity, doc_id: str, text: str) -> DataFrame:
-    """(node, n, set) of the nodes given, read from the text of the document that stands for each.
+    return whole_sets_at(docs, nodes, how, doc_id, text)[0]
+
+
+def whole_sets_at(docs: DataFrame, nodes: DataFrame, how: Similarity, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """(node, n, set) of the nodes given, read from the text of the document that stands for each; and the table's folder.
 
     Texts stay where they are: a bit filter passes over most documents that are not asked for, and only sets
     are shuffled. What the filter lets through wrongly goes in the join.
@@ -269,23 +281,26 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, how: Similarity, doc_id: str,
 
     found = docs.select(_document_key(doc_id, text).alias("key"), F.col(text)).mapInArrow(read, "key long, n long, set binary")
     # A repeated row brings the same set again.
-    return written(found.repartition("key").groupBy("key", "n").agg(F.max("set").alias("set")).join(wanted, "key").select("node", "n", "set"), "sets")
+    return written_at(found.repartition("key").groupBy("key", "n").agg(F.max("set").alias("set")).join(wanted, "key").select("node", "n", "set"), "sets")
 
 
 def linked(docs: DataFrame, how: Similarity, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: row_id, doc_id, n_shingles, node (documents with equal sets share one), component and number of links."""
-    rows = described(docs, how, doc_id, text)
+    rows, rows_path = described_at(docs, how, doc_id, text)
     filled = rows.filter("n > 0")
     groups = filled.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("row_id", "doc_id", "text_hash"), "row_id").alias("r"), F.count(F.lit(1)).alias("copies"))
     groups = durable(groups.select("h1", "h2", "n", "copies", F.col("r.row_id").alias("node"), "r.doc_id", "r.text_hash"))
     histogram = groups.groupBy("n").agg(F.count(F.lit(1)).alias("sets")).toPandas()  # a row for each set size
     small = boundary(histogram["n"].to_numpy(), histogram["sets"].to_numpy(), how)
     firsts = rows.select(F.col("row_id").alias("node"), "n", "first").filter("first is not null").join(groups.select("node"), "node", "left_semi")
-    wanted = groups.join(survivors(firsts, how, small), "node", "left_semi")
-    sets = whole_sets(docs, wanted, how, doc_id, text)
+    wanted = durable(groups.join(survivors(firsts, how, small), "node", "left_semi"))
+    rows = durable(rows.drop("first"))
+    discard(docs.sparkSession, rows_path)  # most of it are first shingles, which nothing reads from here on
+    sets, sets_path = whole_sets_at(docs, wanted, how, doc_id, text)
     lists = durable(scanned_lists(sets, how))
     placed, meet = blocks_of(lists)
     links = verified_links(placed.join(groups.select("node", "copies"), "node"), meet, sets, how)
+    discard(docs.sparkSession, sets_path)
     labels = components(links.filter("a <> b").select("a", "b"))
     counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
@@ -311,16 +326,21 @@ def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """
     found = linked(docs, how)
     key = ["component", "doc_id", "text_hash"]
-    counted = found.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
-    first = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash", "rows", "n")).alias("f"))
-    kept = first.select(F.col("f.doc_id").alias("k_id"), F.col("f.text_hash").alias("k_hash"), ((F.col("f.rows") > 1) & (F.col("f.n") > 0)).alias("repeated"))
-    kept = durable(kept.distinct())
-    # Written, so that Spark knows their sizes: mostly no key is repeated, and texts are not shuffled for it.
-    once, repeated = (written(kept.filter(f).select("k_id", "k_hash"), "kept") for f in ("not repeated", "repeated"))
+    counted = durable(found.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")))
+    first = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("f"))
+    chosen = counted.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash")))
+    # Keys that some row has to go from; the rows of all other keys stay where they are, and no text moves for them.
+    contested = durable(chosen.filter(~F.col("stays") | ((F.col("rows") > 1) & (F.col("n") > 0))).groupBy(
+        F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.max("stays").alias("stays")))
+    words = _filter_words(contested.select(F.xxhash64("k_id", "k_hash").alias("key")))
+    place = F.pmod(_document_key("doc_id", "text"), F.lit(FILTER_BITS))
+    marked = docs.withColumn("_place", place).join(F.broadcast(words), F.floor(F.col("_place") / 64).cast("int") == F.col("word"), "left").withColumn(
+        "_hit", F.coalesce(F.getbit("bits", (F.col("_place") % 64).cast("int")) == 1, F.lit(False)))
     matches = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
-    single = docs.join(once, matches, "left_semi").select(docs.columns)
+    clear = marked.filter(~F.col("_hit")).select(docs.columns)
+    doubtful = marked.filter("_hit").select(docs.columns).withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(SLICES)).cast("int"))
+    wrongly = doubtful.join(contested, matches, "left_anti").select(docs.columns)
     # The rows of a key are joined in slices and brought down to one within each task, however many there are.
-    sliced = docs.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(SLICES)).cast("int"))
-    asked = repeated.withColumn("_k_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    rows = sliced.join(asked, matches & (F.col("_slice") == F.col("_k_slice"))).groupBy("k_id", "k_hash").agg(F.min(F.struct(*docs.columns)).alias("r"))
-    return single.unionByName(rows.select("r.*"))
+    asked = contested.filter("stays").withColumn("_k_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    rows = doubtful.join(asked, matches & (F.col("_slice") == F.col("_k_slice"))).groupBy("k_id", "k_hash").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return clear.unionByName(wrongly).unionByName(rows.select("r.*"))
