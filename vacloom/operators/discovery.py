@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions.classify import transient_failure
 from ..functions.hashing import prefixed_id
 from ..functions.text import domain_title
 from ..functions.urls import career_fingerprint, with_domains
-from ..plans.skew import first_in_group
+from ..plans.skew import first_in_group, in_order
+from ..session import durable
 
 # Version of the discovery rules, retry clock and statuses.
 PIPELINE_VERSION = "2026-09-01"
@@ -362,18 +365,34 @@ def receipt_counts(receipts: DataFrame) -> DataFrame:
     return counted.withColumn("reconciled", adds_up).drop("_fetched_failed", "_odd")
 
 
+PARTS = 1024  # a range of values is cut into, each pass
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles (index ceil((n - 1) f)) from counts of distinct values."""
-    per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    window = Window.partitionBy(*keys)
-    running = F.sum("_n").over(window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = per_value.withColumns({"_to": running, "_all": F.sum("_n").over(window)})
-    picks = []
-    for name, fraction in fractions.items():
-        index = F.ceil((F.col("_all") - 1) * F.lit(fraction))
-        inside = (index >= F.col("_to") - F.col("_n")) & (index < F.col("_to"))
-        picks.append(F.max(F.when(inside, F.col(value))).alias(name))
-    return ranked.groupBy(*keys).agg(*picks, F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    """Exact nearest-rank percentiles (index ceil((n - 1) f)) of a numeric column; null values do not count.
+
+    Each pass cuts a key's range of values into parts of equal width, counts them and goes on in the part that
+    holds the index, until that has one value. A task sees counts of parts, never a whole key in order.
+    """
+    given = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    own = [f"_k{i}" for i in range(len(keys))]
+    ends = durable(given.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(f)).alias("f")) for n, f in fractions.items()]))
+    near = durable(ends.select(*own, "n", "low", "high", asked.alias("a")).select(
+        *[F.col(k).alias(f"a{k}") for k in own], F.col("a.name").alias("name"), "low", "high", F.ceil((F.col("n") - 1) * F.col("a.f")).alias("skip")))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"a{k}")) for k in own])
+    while not near.filter("low < high").isEmpty():
+        width = F.col("high").cast("double") - F.col("low").cast("double")
+        share = F.floor((F.col("_v").cast("double") - F.col("low").cast("double")) / F.nullif(width, F.lit(0.0)) * PARTS)
+        # Beyond 2**53 whole numbers can differ that are equal as doubles.
+        part = F.least(F.coalesce(share, F.floor(F.col("_v") - F.col("low"))), F.lit(PARTS - 1))
+        counts = given.join(near.filter("low < high"), same & F.col("_v").between(F.col("low"), F.col("high"))).groupBy(
+            *[f"a{k}" for k in own], "name", "skip", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        before = Window.partitionBy(*[f"a{k}" for k in own], "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("skip >= before AND skip < before + n")
+        near = durable(placed.select(*[f"a{k}" for k in own], "name", "low", "high", (F.col("skip") - F.col("before")).alias("skip")).unionByName(near.filter("low = high")))
+    found = near.groupBy(*[f"a{k}" for k in own]).agg(*[F.max(F.when(F.col("name") == n, F.col("low"))).alias(f"_f_{n}") for n in fractions])
+    return ends.join(found, same).select(*[F.col(k).alias(n) for k, n in zip(own, keys)], *[F.col(f"_f_{n}").alias(n) for n in fractions], F.col("low").alias("minimum"), F.col("high").alias("maximum"))
 
 
 def measurement_inputs(records: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -386,7 +405,7 @@ def measurement_inputs(records: DataFrame, suffixes: DataFrame) -> DataFrame:
     usable = with_domains(pending, {"website_url": "domain"}, suffixes).filter((F.col("domain") != "") & F.col("website_url").startswith("https://"))
     explicit = F.max((F.col("classification") == "explicit_startup").cast("int"))
     first = F.min_by(F.struct("company_name", "website_url", "classification"), F.col("position"))
-    merged = usable.groupBy("domain").agg(explicit.alias("_e"), first.alias("_f"), F.countDistinct("source_id").alias("sources"))
+    merged = usable.groupBy("domain").agg(explicit.alias("_e"), first.alias("_f"), F.array_sort(F.collect_set("source_id")).alias("sources"))
     return merged.select(
         "domain", "_f.company_name", "_f.website_url", "sources",
         F.when(F.col("_e") == 1, "explicit_startup").otherwise(F.coalesce("_f.classification", F.lit("unknown"))).alias("classification"),
@@ -394,14 +413,5 @@ def measurement_inputs(records: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, order: str, out: str = "input_index") -> DataFrame:
-    """Dense index from zero in global order, numbered slice by slice.
-
-    The slice is the leading characters of the ordered text, so no task sorts everything.
-    """
-    from ..plans.skew import rank_in_group
-
-    ranked = rank_in_group(
-        df.withColumn("_all", F.lit(0)), ["_all"], [F.col(order).asc()],
-        [(F.substring(order, 1, 4), False), (F.substring(order, 1, 12), False)], out,
-    )
-    return ranked.withColumn(out, F.col(out) - 1).drop("_all")
+    """Dense index from zero in global order."""
+    return in_order(df, [F.col(order).asc()], out)[0]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import FNV_OFFSET, FNV_PRIME, MASK32
 from ..functions.text import round_half_up
+from ..plans.skew import in_order
 
 # A snapshot is held back when a source of at least this many open identities
 # loses at least this many and more than this share of them.
@@ -158,22 +159,11 @@ def same_sets(left: DataFrame, right: DataFrame, scope: list[str], identity: str
 def rotating_window(df: DataFrame, order: list[str], cursor: int, limit: int) -> DataFrame:
     """The next ``limit`` rows of an ordered list from a cursor on, and the cursor after them.
 
-    Rows before the cursor are passed over by the top-k sort itself; a cursor outside the list
-    starts over, and reaching the end wraps to zero.
+    Places come from ranges of the order, so a deep cursor sorts no more than a shallow one; a cursor outside
+    the list starts over, and reaching the end wraps to zero.
     """
-    size = df.agg(F.count(F.lit(1)).alias("_size"))
-    sort = [F.col(c) for c in order]
-    limit = max(1, limit)
-
-    def part(start: int) -> DataFrame:
-        page = df.orderBy(*sort).limit(start + limit)
-        ranked = page.withColumn("position", F.row_number().over(Window.orderBy(*sort)).cast("long") - 1)
-        return ranked.filter(F.col("position") >= start)
-
-    start = cursor if cursor >= 0 else 0
-    count = F.col("_size")
-    chosen = part(start).crossJoin(size) if start == 0 else part(start).crossJoin(size).unionByName(
-        part(0).crossJoin(size).filter(count <= start)
-    )
-    end = F.when(count <= start, F.lit(0)).otherwise(F.lit(start)) + limit
-    return chosen.withColumn("next_cursor", F.when(end >= count, 0).otherwise(end).cast("long")).drop("_size")
+    placed, size = in_order(df, [F.col(c).asc() for c in order], "position")
+    start = cursor if 0 <= cursor < size else 0
+    end = start + max(1, limit)
+    page = placed.filter(F.col("position").between(start, end - 1))
+    return page.withColumn("next_cursor", F.lit(0 if end >= size else end).cast("long"))

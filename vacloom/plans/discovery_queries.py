@@ -95,12 +95,12 @@ def registry_funnel(spark, sf_dir):
   SELECT canonical_domain AS normalized_domain, company_name, max(CASE WHEN source_kind = 'directory' THEN 1 ELSE 0 END) AS directory_ranked
   FROM registry_role d JOIN evidence_role e USING (canonical_domain)
   WHERE e.permission_status = 'permitted' AND {FREE} AND NOT EXISTS (SELECT 1 FROM queue_role q
-    WHERE q.normalized_domain = d.canonical_domain AND q.status = 'active')
+    WHERE q.normalized_domain = d.canonical_domain)
   GROUP BY canonical_domain, company_name, first_seen_at
   ORDER BY first_seen_at DESC, 3 DESC, canonical_domain LIMIT 60"""))
 def registry_promotion(spark, sf_dir):
     registry, evidence, queue = [role(spark, sf_dir, n) for n in ("registry", "evidence", "queue")]
-    return op.promote(registry, evidence, queue.filter("status = 'active'"), AS_OF, 60).select(
+    return op.promote(registry, evidence, queue, AS_OF, 60).select(
         "normalized_domain", "company_name", "directory_ranked"
     )
 
@@ -217,13 +217,13 @@ INPUT = """SELECT 'https://www.site' || CAST(o_custkey AS STRING) || CASE o_cust
   SELECT row_number() OVER (ORDER BY domain) - 1 AS input_index, domain, company_name, classification, sources FROM (
     SELECT regexp_replace(regexp_replace(website_url, '^https://www.', ''), '/x$', '') AS domain, arg_min(company_name, position) AS company_name,
       CASE WHEN max(CASE classification WHEN 'explicit_startup' THEN 1 ELSE 0 END) = 1 THEN 'explicit_startup' ELSE 'directory' END AS classification,
-      count(DISTINCT source_id) AS sources
+      string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources
     FROM ({INPUT.format(orders='orders')}) WHERE review_status = 'pending' AND permission_status = 'permitted' GROUP BY 1)""")
 def measurement_inputs(spark, sf_dir):
     table(spark, sf_dir, "region")
     records = spark.sql(INPUT.format(orders=f"parquet.`{sf_dir}/orders.parquet`"))
     return op.dense_index(op.measurement_inputs(records, domain_rules(spark, sf_dir)), "domain").select(
-        "input_index", "domain", "company_name", "classification", "sources"
+        "input_index", "domain", "company_name", "classification", F.array_join("sources", ",").alias("sources")
     )
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
+
 def rank_in_group(
     df: DataFrame,
     keys: list[str],
@@ -47,6 +50,25 @@ def rank_in_group(
     )
 
 
+def in_order(df: DataFrame, order: list[Column], out: str) -> tuple[DataFrame, int]:
+    """Each row's place from zero in a total order over all rows, and their number.
+
+    Rows are dealt by ranges of the order, numbered within their range and shifted by the ranges before. Only
+    the sizes of the ranges reach the driver.
+    """
+    low = 33  # bits of a row's number within its partition
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    rows = durable(ranged)  # from here on partitions stay as they are
+    part = F.shiftright("_row", low).cast("int")
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for number in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(number, 0)
+    shift = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), part + 1) if before else F.lit(0).cast("long")
+    return rows.withColumn(out, F.col("_row").bitwiseAND(F.lit((1 << low) - 1)) + shift).drop("_row"), total
+
+
 def group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Size of a row's group, counted with map-side combine and joined back by key.
 
