@@ -216,10 +216,11 @@ def with_domains(df: DataFrame, columns: dict[str, str], suffixes: DataFrame) ->
     return df
 
 
-def suffix_table(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """The rules of the extract, and those of further lines of a list (column ``value``)."""
-    lines = spark.createDataFrame([(s,) for s in PUBLIC_SUFFIXES], "value string")
-    return suffix_rules(lines if more is None else lines.unionByName(more.select("value")))
+def suffix_table(spark: SparkSession, more: list[str] | DataFrame | None = None) -> DataFrame:
+    """The rules of the extract, and those of further lines of a list (a table has them in its column ``value``)."""
+    own = [*PUBLIC_SUFFIXES, *(more if isinstance(more, list) else [])]
+    lines = spark.createDataFrame([(s,) for s in own], "value string")
+    return suffix_rules(lines.unionByName(more.select("value")) if isinstance(more, DataFrame) else lines)
 
 
 def same_site(left: Column, right: Column) -> Column:
