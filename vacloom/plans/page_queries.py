@@ -138,6 +138,49 @@ def unsupported_host_leads(spark, sf_dir):
     )
 
 
+# A portfolio page per part: a heading, a labelled link to the company or to a social host, and links of its own site.
+PORTFOLIO = """SELECT p_partkey AS page_id, 'https://fund' || CAST(p_partkey % 9 AS STRING) || '.example.org/portfolio/' || CAST(p_partkey AS STRING) AS url,
+    CASE WHEN p_partkey % 4 = 0 THEN '<h1>Our Portfolio</h1>' WHEN p_partkey % 4 = 1 THEN '' ELSE '<h1 class="t">Firm <b>' || CAST(p_partkey AS STRING) || '</b></h1>' END
+    || '<a href="https://' || CASE p_partkey % 5 WHEN 0 THEN 'www.linkedin.com/in/x' WHEN 1 THEN 'jobs.fund' || CAST(p_partkey % 9 AS STRING) || '.example.org/'
+      ELSE 'www.big-co' || CAST(p_size AS STRING) || '.com/' END || '">' || CASE WHEN p_partkey % 7 = 0 THEN 'Read more' ELSE 'Visit <i>website</i>' END || '</a>'
+    || '<a href="/companies/' || CAST(p_size AS STRING) || '">Profile</a><a href="/about">About</a>' AS html FROM {part}"""
+
+
+def portfolio_pages(spark, sf_dir):
+    pages(spark, sf_dir)
+    return spark.sql(PORTFOLIO.format(part=f"parquet.`{sf_dir}/part.parquet`"))
+
+
+@query("portfolio_candidates", """
+  SELECT p_partkey AS page_id, 'https://www.big-co' || p_size || '.com/' AS website_url, 'big-co' || p_size || '.com' AS domain,
+    CASE WHEN p_partkey % 4 >= 2 THEN 'Firm ' || p_partkey ELSE 'Big Co' || p_size END AS name FROM part WHERE p_partkey % 5 >= 2 AND p_partkey % 7 <> 0""")
+def portfolio_candidates(spark, sf_dir):
+    return op.portfolio_candidates(portfolio_pages(spark, sf_dir)).select("page_id", "website_url", "domain", "name")
+
+
+@query("portfolio_profile_links", """
+  SELECT p_partkey AS page_id, 'https://fund' || p_partkey % 9 || '.example.org/companies/' || p_size AS link FROM part""")
+def portfolio_profile_links(spark, sf_dir):
+    return op.detail_links(portfolio_pages(spark, sf_dir)).select("page_id", "link")
+
+
+@query("excluded_domains", """
+  SELECT p_partkey, p_partkey % 5 < 2 OR p_partkey % 6 = 0 AS excluded FROM part""")
+def excluded_domains(spark, sf_dir):
+    key = F.col("p_partkey")
+    domain = F.when(key % 6 == 0, "").when(key % 5 == 0, "linkedin.com").when(key % 5 == 1, "jobs.fund.org").otherwise("big.com")
+    return table(spark, sf_dir, "part").select("p_partkey", op.excluded_domain(domain, F.lit("fund.org")).alias("excluded"))
+
+
+@query("career_fingerprints", """
+  SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 THEN '' ELSE 'lever:board ' || s_suppkey || ':careers' || s_nationkey || '.example.com' END AS fingerprint FROM supplier""")
+def career_fingerprints(spark, sf_dir):
+    key = F.col("s_suppkey")
+    board = F.when(key % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" Board "), key))
+    site = F.concat(F.when(key % 5 == 0, "http").otherwise("https"), F.lit("://www.Careers"), F.col("s_nationkey"), F.lit(".example.com/jobs"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", u.career_fingerprint(F.lit(" Lever "), board, site).alias("fingerprint"))
+
+
 HEADLINE = """SELECT o_orderkey AS page_id, 'https://news' || CAST(o_custkey % 3 AS STRING) || '.example.org/' || CAST(o_orderkey AS STRING) AS url,
     'reputable' AS source_kind, 'Wire' AS publisher,
     CASE o_orderkey % 5 WHEN 4 THEN 'Rumour: ' ELSE '' END || 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0')
