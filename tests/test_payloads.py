@@ -41,3 +41,25 @@ def test_pages(spark):
     table = spark.createDataFrame(pages, "source_id string, page_start int, page_limit int, total int, items int")
     found = {r.source_id: r.complete for r in op.assembled_pages(table).collect()}
     assert found == {"a": True, "b": False, "c": True, "d": False, "e": False}
+
+
+def test_a_payload_is_read_once_and_its_fields_are_not_read_in_filters(spark):
+    found = op.postings(rows(spark, ("ashby", json.dumps({"jobs": [JOB]}))), "ashby")
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Generate posexplode" in line for line in plan) == 1
+    assert not any("variant" in line for line in plan if line.lstrip(" :+-").startswith("Filter"))
+
+
+def test_conflicts_and_repeats_across_payloads_of_a_source(spark):
+    a, b = json.dumps({"jobs": [JOB]}), json.dumps({"jobs": [{**JOB, "title": "Other"}]})
+    given = [("s", a), ("s", b), ("t", a), ("t", a), (None, a), (None, b)]
+    payloads = spark.createDataFrame([(s, "ashby", "b", p) for s, p in given], SCHEMA)
+    found = sorted((r.source_id or "", r.title) for r in op.postings(payloads, "ashby").collect())
+    assert found == [("", "Engineer"), ("", "Other"), ("t", "Engineer")]
+
+
+def test_locations_of_a_grouped_posting(spark):
+    job = {"shortcode": "S1", "title": "Engineer", "url": "https://apply.workable.com/a/j/S1", "country": "US"}
+    jobs = [{**job, "locations": [{"city": "Boston"}, {"city": "Paris", "country": "France"}]}, {**job, "location": {"location_str": "Austin, USA"}}, {**job, "city": "Boston"}]
+    found = op.stated_postings(rows(spark, ("workable", json.dumps({"jobs": jobs}))), "workable").collect()
+    assert [(r.external_id, r.location) for r in found] == [("S1", "Boston, US; Austin, USA")]

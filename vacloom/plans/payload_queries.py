@@ -83,8 +83,11 @@ EXPECTED = {
 
 
 def payloads(spark, sf_dir, provider):
-    table(spark, sf_dir, "orders")
-    return spark.sql(f"SELECT {K} AS source_id, '{provider}' AS provider, 'Acme.jobs.personio.de' AS board_id, {SHAPES[provider]} AS payload FROM parquet.`{sf_dir}/orders.parquet`")
+    """A payload per order; reading payloads outweighs reading orders, so the orders are dealt to all cores."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    dealt = orders.repartition(max(orders.rdd.getNumPartitions(), 3 * spark.sparkContext.defaultParallelism))
+    return dealt.select(*[F.expr(e).alias(name) for name, e in {
+        "source_id": K, "provider": f"'{provider}'", "board_id": "'Acme.jobs.personio.de'", "payload": SHAPES[provider]}.items()])
 
 
 def _register(provider: str) -> None:

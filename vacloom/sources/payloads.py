@@ -84,6 +84,16 @@ def span(currency: Column, low: Column, high: Column) -> Column:
     return _trimmed(F.concat(currency, F.lit(" "), low, F.lit("–"), high))
 
 
+def once(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keys`` and ``columns``, each column computed once a row.
+
+    They pass through a generator: a filter on them stays behind it, where it would otherwise repeat the reading
+    of a field at each place that names it.
+    """
+    read = F.explode(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))).alias("_read")
+    return rows.select(*keys, read).select(*keys, "_read.*")
+
+
 def records(payloads: DataFrame, provider: str) -> DataFrame:
     """One row per record of a provider's payloads, in order; payloads that cannot be read give none."""
     body = F.try_parse_json("payload")
@@ -168,20 +178,23 @@ FIELDS = ["external_id", "title", "department", "location", "remote", "workplace
 def _grouped_records(payloads: DataFrame) -> DataFrame:
     """Records that come once per location: the first of each id, with the locations of all (US ones if there are any)."""
     job = F.col("job")
-    owner = {k: text(job, f"$.{k}") for k in ("city", "region", "state", "country")}
+    parts = ("location_str", "city", "region", "state", "country", "country_name", "countryCode", "country_code")
+    stated = lambda p: F.struct(*[text(p, f"$.{k}").alias(k) for k in parts])
+    own = F.col("own")
 
     def place(p: Column) -> Column:
-        country = first_of(text(p, "$.country"), text(p, "$.country_name"), owner["country"])
-        code = first_of(text(p, "$.countryCode"), text(p, "$.country_code"), text(job, "$.countryCode"), text(job, "$.country_code"))
-        label = first_of(text(p, "$.location_str"), F.array_join(F.filter(F.array(
-            first_of(text(p, "$.city"), owner["city"]), first_of(text(p, "$.region"), text(p, "$.state"), owner["region"], owner["state"]), country,
+        country = first_of(p["country"], p["country_name"], own["country"])
+        code = first_of(p["countryCode"], p["country_code"], own["countryCode"], own["country_code"])
+        label = first_of(p["location_str"], F.array_join(F.filter(F.array(
+            first_of(p["city"], own["city"]), first_of(p["region"], p["state"], own["region"], own["state"]), country,
         ), lambda v: v != ""), ", "))
-        us = code.rlike(US_COUNTRY_CODE) | country.rlike(US_COUNTRY_NAME) | label.rlike(US_LABEL)
-        return F.struct(label.alias("label"), us.alias("us"), ((label != "") | (country != "") | (code != "")).alias("stated"))
+        return F.struct(label.alias("label"), country.alias("country"), code.alias("code"))
+
+    def judged(p: Column) -> Column:
+        us = p["code"].rlike(US_COUNTRY_CODE) | p["country"].rlike(US_COUNTRY_NAME) | p["label"].rlike(US_LABEL)
+        return F.struct(p["label"].alias("label"), us.alias("us"))
 
     inner = F.when(node(job, "$.location").isNotNull(), F.array(node(job, "$.location"))).otherwise(F.array().cast("array<variant>"))
-    places = F.filter(F.transform(F.concat(inner, listed(job, "$.locations")), place), lambda p: p["stated"])
-    places = F.when(F.size(places) > 0, places).otherwise(F.filter(F.array(place(job)), lambda p: p["stated"]))
     remote = flag(job, "$.remote") | flag(job, "$.telecommuting") | flag(job, "$.location.telecommuting") | text(job, "$.location.location_str").rlike("(?i)remote")
     said = {
         "title": text(job, "$.title"), "department": text(job, "$.department"),
@@ -192,13 +205,22 @@ def _grouped_records(payloads: DataFrame) -> DataFrame:
         "url": first_of(text(job, "$.url"), text(job, "$.shortlink")),
         "published_at": F.coalesce(moment(job, "$.published_on"), moment(job, "$.created_at")),
     }
-    rows = records(payloads, "workable").select(
-        "source_id", "board_id", "position", first_of(scalar(job, "$.shortcode"), scalar(job, "$.id")).alias("external_id"),
-        F.struct(*[v.alias(k) for k, v in said.items()]).alias("said"), places.alias("places"), remote.alias("remote"),
-        F.nullif(text(job, "$.description"), F.lit("")).alias("body"),
-    ).filter("external_id <> ''")
+    read, keys = records(payloads, "workable"), ["source_id", "board_id", "position"]
+    external = first_of(scalar(job, "$.shortcode"), scalar(job, "$.id"))
+    rows = once(read, keys, {
+        "external_id": external, "said": F.struct(*[v.alias(k) for k, v in said.items()]), "remote": remote,
+        "body": F.nullif(text(job, "$.description"), F.lit("")),
+    }).filter("external_id <> ''")
+    given = once(read, keys, {
+        "external_id": external, "own": stated(job), "given": F.transform(F.concat(inner, listed(job, "$.locations")), stated),
+    }).filter("external_id <> ''")
+    known = lambda p: (p["label"] != "") | (p["country"] != "") | (p["code"] != "")
+    given = once(given, [*keys, "external_id"], {
+        "theirs": F.filter(F.transform("given", place), known), "its": F.filter(F.array(place(own)), known)})
+    places = F.when(F.size("theirs") > 0, F.col("theirs")).otherwise(F.col("its"))
+    given = given.select(*keys, "external_id", F.transform(places, judged).alias("places"))
     # A group is one posting's locations; only distinct labels are gathered, in the order they come.
-    spots = rows.select("source_id", "external_id", "position", F.posexplode("places").alias("i", "p")).groupBy("source_id", "external_id", "p.label", "p.us").agg(
+    spots = given.select("source_id", "external_id", "position", F.posexplode("places").alias("i", "p")).groupBy("source_id", "external_id", "p.label", "p.us").agg(
         F.min(F.struct("position", "i")).alias("at")).filter("label <> ''")
     labels = spots.groupBy("source_id", "external_id").agg(
         F.sort_array(F.collect_list(F.struct("at", "label", "us"))).alias("all"))
@@ -230,13 +252,15 @@ def _xml_postings(payloads: DataFrame) -> DataFrame:
     plain = squeeze(F.regexp_replace(body, "<[^>]*>", " "))
     pay = F.when(first_of(low, high) == "", "").otherwise(F.concat(
         span(currency, first_of(low, high), first_of(high, low)), F.when(period != "", F.concat(F.lit(" per "), period)).otherwise("")))
-    rows = _positions(payloads).filter(~said("name").rlike(XML_OPEN_APPLICATION) & ~plain.rlike(XML_NO_OPENING))
-    return rows.select(
-        "source_id", "board_id", said("id").alias("external_id"), said("name").alias("title"), said("department").alias("department"),
-        said("office").alias("location"), said("office").rlike("(?i)\\bremote\\b|home.?office").alias("remote"), F.lit("").alias("workplace"),
-        F.array_join(F.filter(F.array(said("schedule"), said("employmentType")), lambda v: v != ""), " ").alias("employment_type"),
-        pay.alias("compensation"), F.concat(F.lit("https://"), F.lower(F.trim("board_id")), F.lit("/job/"), said("id"), F.lit("?language=en")).alias("url"),
-        F.try_to_timestamp(F.nullif(said("createdAt"), F.lit(""))).alias("published_at"), body.alias("body"))
+    rows = once(_positions(payloads), ["source_id", "board_id"], {
+        "external_id": said("id"), "title": said("name"), "department": said("department"),
+        "location": said("office"), "remote": said("office").rlike("(?i)\\bremote\\b|home.?office"), "workplace": F.lit(""),
+        "employment_type": F.array_join(F.filter(F.array(said("schedule"), said("employmentType")), lambda v: v != ""), " "),
+        "compensation": pay, "url": F.concat(F.lit("https://"), F.lower(F.trim("board_id")), F.lit("/job/"), said("id"), F.lit("?language=en")),
+        "published_at": F.try_to_timestamp(F.nullif(said("createdAt"), F.lit(""))), "body": body,
+        "kept": ~said("name").rlike(XML_OPEN_APPLICATION) & ~plain.rlike(XML_NO_OPENING),
+    })
+    return rows.filter("kept").drop("kept")
 
 
 def stated_postings(payloads: DataFrame, provider: str) -> DataFrame:
@@ -246,7 +270,7 @@ def stated_postings(payloads: DataFrame, provider: str) -> DataFrame:
     if provider == "workable":
         return _grouped_records(payloads)
     said = _posting()[provider]
-    rows = records(payloads, provider).select("source_id", "board_id", *[said[c].alias(c) for c in FIELDS], said["kept"].alias("kept"))
+    rows = once(records(payloads, provider), ["source_id", "board_id"], {c: said[c] for c in [*FIELDS, "kept"]})
     return rows.filter("kept").drop("kept")
 
 
@@ -273,26 +297,17 @@ def conflicting_sources(rows: DataFrame) -> DataFrame:
 def postings(payloads: DataFrame, provider: str) -> DataFrame:
     """Normalised postings of a provider; repeats once, none of a source whose ids conflict."""
     rows = normalized(stated_postings(payloads, provider))
-    return rows.join(conflicting_sources(rows), "source_id", "left_anti").distinct()
+    # Payloads are read once: a source's postings meet in one exchange, where its ids are compared as well.
+    own, same = Window.partitionBy("source_id"), Window.partitionBy("source_id", "external_id")
+    hashed = rows.withColumn("_h", F.xxhash64(*[c for c in rows.columns if c not in {"source_id", "external_id"}])).repartition("source_id")
+    spread = hashed.withColumn("_twofold", F.min("_h").over(same) != F.max("_h").over(same))
+    sound = F.col("source_id").isNull() | ~F.max("_twofold").over(own)
+    return spread.withColumn("_sound", sound).filter("_sound").select(*rows.columns).distinct()
 
 
 def _record_rules() -> dict[str, Column]:
     job = F.col("job")
     secure = lambda value: value.rlike(HTTPS)
-    shortcode = F.lower(first_of(scalar(job, "$.shortcode"), scalar(job, "$.id")))
-    page, form = first_of(text(job, "$.url"), text(job, "$.shortlink")), text(job, "$.application_url")
-    site = "(?i)^https://(?:[a-z0-9-]+\\.)*workable\\.com(?::443)?/"
-
-    def path_after(link: Column) -> Column:
-        """Path parts from the job marker on, in lower case."""
-        parts = F.split(F.lower(F.regexp_extract(link, "^https://[^/?#]+/([^?#]*)", 1)), "/")
-        parts = F.filter(parts, lambda p: p != "")
-        return F.slice(parts, F.greatest(F.array_position(parts, "j"), F.lit(1)), F.greatest(F.size(parts), F.lit(1)))
-
-    def leads(link: Column) -> Column:
-        parts = path_after(link)
-        return link.rlike(site) & F.get(parts, F.lit(0)).eqNullSafe("j") & F.get(parts, F.lit(1)).eqNullSafe(shortcode)
-
     somewhere = reduce(lambda a, b: a | b, [text(job, p) != "" for p in ("$.city", "$.region", "$.state", "$.country", "$.countryCode", "$.country_code")])
     somewhere = somewhere | (node(job, "$.location").isNotNull()) | (F.size(listed(job, "$.locations")) > 0)
     return {
@@ -303,13 +318,42 @@ def _record_rules() -> dict[str, Column]:
         & (F.lower(text(job, "$.status")) == "published") & secure(text(job, "$.careers_url")) & secure(text(job, "$.careers_apply_url")),
         "smartrecruiters": (text(job, "$.id") != "") & (text(job, "$.name") != "") & flag(job, "$.active") & (text(job, "$.visibility") == "PUBLIC")
         & secure(text(job, "$.postingUrl")) & secure(text(job, "$.applyUrl")) & (text(job, "$.jobAd.sections.jobDescription.text") != ""),
-        "workable": (shortcode != "") & (text(job, "$.title") != "") & ~F.lower(text(job, "$.state")).isin(UNPUBLISHED_STATES)
-        & leads(page) & leads(form) & F.array_contains(path_after(form), "apply")
+        "workable": (text(job, "$.title") != "") & ~F.lower(text(job, "$.state")).isin(UNPUBLISHED_STATES)
         & F.coalesce(moment(job, "$.published_on"), moment(job, "$.created_at")).isNotNull() & (text(job, "$.description") != "")
         & (somewhere | flag(job, "$.remote") | flag(job, "$.telecommuting")),
     }
 
 
+def _grouped_faults(rows: DataFrame, rule: Column) -> DataFrame:
+    """Sources of records that come once per location: a record breaks the rule, its links lead elsewhere, or ids conflict."""
+    job = F.col("job")
+    said = once(rows, ["source_id"], {
+        "sound": rule, "external_id": first_of(scalar(job, "$.shortcode"), scalar(job, "$.id")), "t": text(job, "$.title"),
+        "u": first_of(text(job, "$.url"), text(job, "$.shortlink")), "a": text(job, "$.application_url"),
+    })
+    site = "(?i)^https://(?:[a-z0-9-]+\\.)*workable\\.com(?::443)?/"
+
+    def path(link: str) -> Column:
+        return F.filter(F.split(F.lower(F.regexp_extract(link, "^https://[^/?#]+/([^?#]*)", 1)), "/"), lambda p: p != "")
+
+    def after(parts: Column) -> Column:
+        """Path parts from the job marker on, in lower case."""
+        return F.slice(parts, F.greatest(F.array_position(parts, "j"), F.lit(1)), F.greatest(F.size(parts), F.lit(1)))
+
+    links = once(said, said.columns, {"u_path": path("u"), "a_path": path("a")})
+    links = once(links, said.columns, {"u_path": after(F.col("u_path")), "a_path": after(F.col("a_path"))})
+    shortcode = F.lower("external_id")
+
+    def leads(link: str) -> Column:
+        parts = F.col(f"{link}_path")
+        return F.col(link).rlike(site) & F.get(parts, F.lit(0)).eqNullSafe("j") & F.get(parts, F.lit(1)).eqNullSafe(shortcode)
+
+    sound = F.col("sound") & (shortcode != "") & leads("u") & leads("a") & F.array_contains("a_path", "apply")
+    judged = links.select("source_id", "external_id", F.coalesce(sound, F.lit(False)).alias("sound"), F.xxhash64("t", "u", "a").alias("h"))
+    ids = judged.groupBy("source_id", "external_id").agg(F.min("sound").alias("sound"), F.min("h").alias("low"), F.max("h").alias("high"))
+    return ids.filter("NOT sound OR low <> high").select("source_id")
+
+
 def completeness(payloads: DataFrame) -> DataFrame:
     """source_id, complete: whether every record of a payload can be relied on; an empty list can."""
     parts = []
@@ -318,26 +362,25 @@ def completeness(payloads: DataFrame) -> DataFrame:
         readable = F.coalesce(*[F.try_variant_get(body, p, "array<variant>") for p in RECORDS[provider]]).isNotNull()
         own = payloads.filter(F.col("provider") == provider).select("source_id", readable.alias("readable"))
         rows = records(payloads, provider)
-        bad = rows.filter(~F.coalesce(rule, F.lit(False))).select("source_id")
         if provider == "workable":
-            job = F.col("job")
-            one = rows.select("source_id", first_of(scalar(job, "$.shortcode"), scalar(job, "$.id")).alias("external_id"), text(job, "$.title").alias("t"),
-                              first_of(text(job, "$.url"), text(job, "$.shortlink")).alias("u"), text(job, "$.application_url").alias("a"))
-            bad = bad.unionAll(conflicting_sources(one))
+            bad = _grouped_faults(rows, rule)
+        else:
+            bad = once(rows, ["source_id"], {"sound": F.coalesce(rule, F.lit(False))}).filter("NOT sound").select("source_id")
         parts.append(own.join(bad.distinct().withColumn("bad", F.lit(True)), "source_id", "left").select(
             "source_id", (F.col("readable") & F.col("bad").isNull()).alias("complete")))
     p = F.col("p")
     told = lambda c: F.coalesce(_trimmed(c), F.lit("")) != ""
     described = F.coalesce(F.size("p.jobDescriptions.jobDescription") > 0, F.lit(False)) & F.coalesce(
         F.forall("p.jobDescriptions.jobDescription", lambda d: told(d["name"]) & told(d["value"])), F.lit(False))
-    positions = _positions(payloads)
-    wrong = positions.filter(~(F.coalesce(p["id"].rlike("^\\s*[0-9]+\\s*$"), F.lit(False)) & told(p["office"]) & told(p["name"]) & described)).select("source_id")
-    twice = positions.groupBy("source_id", _trimmed(p["id"]).alias("i")).count().filter("count > 1").select("source_id")
+    fair = F.coalesce(p["id"].rlike("^\\s*[0-9]+\\s*$"), F.lit(False)) & told(p["office"]) & told(p["name"]) & described
+    positions = once(_positions(payloads), ["source_id"], {"id": _trimmed(p["id"]), "fair": fair})
+    ids = positions.groupBy("source_id", "id").agg(F.min("fair").alias("fair"), F.count(F.lit(1)).alias("n"))
+    wrong = ids.filter("NOT fair OR n > 1").select("source_id")
     own = payloads.filter(F.col("provider") == "personio")
     formed = F.regexp_replace("payload", "(?s)<!--.*?-->|<\\?.*?\\?>|<!\\[CDATA\\[.*?\\]\\]>", "")
     tags = lambda pattern: F.size(F.regexp_extract_all(formed, F.lit(pattern), F.lit(0)))
     rooted = _trimmed(formed).rlike("(?s)^<workzag-jobs>.*</workzag-jobs>$|^<workzag-jobs/>$") & (tags("<position>") == tags("</position>"))
-    parts.append(own.join(wrong.unionAll(twice).distinct().withColumn("bad", F.lit(True)), "source_id", "left").select(
+    parts.append(own.join(wrong.distinct().withColumn("bad", F.lit(True)), "source_id", "left").select(
         "source_id", (F.coalesce(rooted, F.lit(False)) & F.col("bad").isNull()).alias("complete")))
     return reduce(DataFrame.unionAll, parts)
 
