@@ -1,7 +1,9 @@
-"""Stable identifiers: 32-bit FNV-1a folds as native expressions."""
+"""Stable identifiers: 32-bit FNV-1a folds, taken over a batch of texts at once."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,65 +15,63 @@ SECOND_PRIME = 0x85EBCA6B
 MASK32 = 0xFFFFFFFF
 
 
-def _code_points(value: Column) -> Column:
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.ascii(c).cast("long"))
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a column and the bounds of its texts in them; null is empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), bounds
 
 
-def _high_unit(code: Column) -> Column:
-    return F.shiftright(code - 0x10000, 10) + 0xD800
+def _units_of(texts: pa.Array, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 units of a column, of each code point every one or the first, and the bounds of its texts in them."""
+    data, bounds = _bytes_of(texts)
+    if not (data[bounds[0] : bounds[-1]] & 0x80).any():
+        return data, bounds
+    parts = [(text or "").encode("utf-16-le") for text in texts.to_pylist()]
+    units = np.frombuffer(b"".join(parts), "<u2")
+    bounds = np.concatenate([[0], np.cumsum([len(part) // 2 for part in parts])])
+    if every:
+        return units, bounds
+    first = (units & 0xFC00) != 0xDC00
+    return units[first], np.concatenate([[0], np.cumsum(first)])[bounds]
 
 
-def _first_units(value: Column) -> Column:
-    """First UTF-16 unit of every code point."""
-    return F.transform(
-        _code_points(value), lambda c: F.when(c > 0xFFFF, _high_unit(c)).otherwise(c)
-    )
-
-
-def _all_units(value: Column) -> Column:
-    """Every UTF-16 unit."""
-    return F.flatten(F.transform(
-        _code_points(value),
-        lambda c: F.when(
-            c > 0xFFFF,
-            F.array(_high_unit(c), (c - 0x10000).bitwiseAND(0x3FF) + 0xDC00),
-        ).otherwise(F.array(c)),
-    ))
-
-
-def _utf8_bytes(value: Column) -> Column:
-    digits = F.hex(F.encode(value, "UTF-8"))
-    starts = F.when(
-        F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda i: F.conv(digits.substr(i, F.lit(2)), 16, 10).cast("long")
-    )
+def _folded(units: np.ndarray, bounds: np.ndarray, offset: int, prime: int) -> np.ndarray:
+    """The fold of each text, one place of all texts at a time; texts that have ended drop out."""
+    sizes = np.diff(bounds)
+    order = np.argsort(-sizes, kind="stable")
+    starts, state = bounds[:-1][order], np.full(len(sizes), offset, np.uint32)
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)))
+    for place, n in enumerate(live):
+        state[:n] ^= units[starts[:n] + place]
+        state[:n] *= np.uint32(prime)
+    out = np.empty(len(sizes), np.int64)
+    out[order] = state
+    return out
 
 
-def _multiply32(value: Column, factor: int) -> Column:
-    """32-bit product in halves, so that it never leaves the signed 64-bit range."""
-    low, high = factor & 0xFFFF, factor >> 16
-    upper = (value * F.lit(high)).bitwiseAND(0xFFFF) * F.lit(65536)
-    return (value * F.lit(low) + upper).bitwiseAND(F.lit(MASK32))
-
-
-def _fold(units: Column, offset: int, prime: int) -> Column:
-    return F.aggregate(
-        units, F.lit(offset).cast("long"),
-        lambda h, unit: _multiply32(h.bitwiseXOR(unit), prime),
-    )
+def _numbers(texts: pa.Array, every: bool) -> pa.Array:
+    folded = _folded(*_units_of(texts, every), FNV_OFFSET, FNV_PRIME)
+    return pa.array(folded, pa.int64(), mask=np.asarray(texts.is_null()))
 
 
 def fnv32(value: Column) -> Column:
     """FNV-1a/32 over the first UTF-16 unit of each code point, as a number."""
-    return _fold(_first_units(value), FNV_OFFSET, FNV_PRIME)
+
+    def fold(texts: pa.Array) -> pa.Array:
+        return _numbers(texts, False)
+
+    return F.arrow_udf(fold, "long")(value.cast("string"))
 
 
 def fnv32_units(value: Column) -> Column:
     """FNV-1a/32 over every UTF-16 unit, as a number."""
-    return _fold(_all_units(value), FNV_OFFSET, FNV_PRIME)
+
+    def fold(texts: pa.Array) -> pa.Array:
+        return _numbers(texts, True)
+
+    return F.arrow_udf(fold, "long")(value.cast("string"))
 
 
 def hex8(number: Column) -> Column:
@@ -83,11 +83,14 @@ def base36(number: Column) -> Column:
 
 
 def identity_hash(value: Column) -> Column:
-    """Two folds over the UTF-8 bytes, sixteen hex digits."""
-    data = _utf8_bytes(value)
-    return F.concat(
-        hex8(_fold(data, FNV_OFFSET, FNV_PRIME)), hex8(_fold(data, SECOND_OFFSET, SECOND_PRIME))
-    )
+    """Two folds over the UTF-8 bytes, sixteen hex digits; null counts as empty."""
+
+    def fold(texts: pa.Array) -> pa.Array:
+        data = _bytes_of(texts)
+        first, second = _folded(*data, FNV_OFFSET, FNV_PRIME), _folded(*data, SECOND_OFFSET, SECOND_PRIME)
+        return pa.array([f"{a:08x}{b:08x}" for a, b in zip(first.tolist(), second.tolist())], pa.string())
+
+    return F.arrow_udf(fold, "string")(value.cast("string"))
 
 
 def prefixed_id(prefix: str, value: Column) -> Column:
