@@ -39,21 +39,22 @@ def freshness(sample: DataFrame, current: DataFrame, observed: DataFrame, failur
     """
     keyed = sample.withColumn("url", canonical_url(F.col("canonical_url")))
 
-    def present(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        ids = rows.select("source_key", "external_id").distinct().withColumn(f"_{name}_id", F.lit(True))
-        urls = rows.select("source_key", canonical_url(F.col("canonical_url")).alias("url")).distinct().withColumn(f"_{name}_url", F.lit(True))
-        return ids, urls
-
-    cur_ids, cur_urls = present(current, "c")
-    obs_ids, obs_urls = present(observed, "o")
-    collected = current.select("source_key").unionByName(observed.select("source_key")).distinct().withColumn("_known", F.lit(True))
-    raw = observed.select("source_key").distinct().withColumn("_raw", F.lit(True))
+    # A posting may be in both collections and come several times: it is read and its address made canonical once.
+    columns = ["source_key", "external_id", "canonical_url"]
+    told = current.select(*columns, F.lit(True).alias("c"), F.lit(None).cast("boolean").alias("o")).unionByName(
+        observed.select(*columns, F.lit(None).cast("boolean").alias("c"), F.lit(True).alias("o")))
+    postings = told.groupBy(*columns).agg(F.max("c").alias("c"), F.max("o").alias("o"))
+
+    def present(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max("c").alias(f"_c_{name}"), F.max("o").alias(f"_o_{name}"))
+
+    ids = present(postings, ["source_key", "external_id"], "id")
+    addresses = present(postings.withColumn("url", canonical_url(F.col("canonical_url"))), ["source_key", "url"], "url")
+    collected = postings.groupBy("source_key").agg(F.max(F.coalesce("c", "o")).alias("_known"), F.max("o").alias("_raw"))
     failed = failures.groupBy("source_key").agg(F.min("message").alias("_failure"))
     joined = keyed
     for side, on in [
-        (cur_ids, ["source_key", "external_id"]), (cur_urls, ["source_key", "url"]),
-        (obs_ids, ["source_key", "external_id"]), (obs_urls, ["source_key", "url"]),
-        (collected, ["source_key"]), (raw, ["source_key"]), (failed, ["source_key"]),
+        (ids, ["source_key", "external_id"]), (addresses, ["source_key", "url"]), (collected, ["source_key"]), (failed, ["source_key"]),
     ]:
         joined = joined.join(side, on, "left")
     is_current = F.coalesce("_c_id", "_c_url", F.lit(False))
