@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacloom.functions import urls
+from vacloom.plans.career_queries import career_pages
+from vacloom.plans.page_queries import portfolio_pages
+from vacloom.sources.pages import external_links
 
 HOSTS = [
     "shop.co.th", "a.shop.co.th", "co.th", "www.ck", "a.www.ck", "b.a.ck", "a.ck", "ck", "city.kawasaki.jp", "a.city.kawasaki.jp", "x.y.kawasaki.jp", "y.kawasaki.jp",
@@ -57,3 +60,26 @@ def test_domains_by_the_whole_list(spark, lines):
 def test_lines_of_a_list(spark):
     given = spark.createDataFrame([("// comment",), ("",), ("*.ck  trailing",), ("!www.ck",), ("Co.UK",), (None,)], "value string")
     assert {tuple(r) for r in urls.suffix_rules(given).collect()} == {("ck", "wildcard"), ("www.ck", "exception"), ("co.uk", "plain")}
+
+
+def test_career_links_are_picked_once_and_hosts_are_looked_up(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        asked.add(1)
+        return value
+
+    once = F.udf(counted, "string").asNondeterministic()
+    rows = spark.range(12).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://www.site.co.uk/p"), "id").alias("url"),
+        once(F.when(F.col("id") % 3 == 0, "https://careers.other.com/jobs/apply").otherwise("https://example.org/about")).alias("link"))
+    got = external_links(rows, urls.suffix_table(spark)).select("page_id", "host", "domain").collect()
+    assert sorted(map(tuple, got)) == [(i, "careers.other.com", "site.co.uk") for i in (0, 3, 6, 9)]
+    assert asked.value == 12
+
+
+def test_pages_made_of_a_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(50).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for made in (portfolio_pages(spark, str(tmp_path)), career_pages(spark, str(tmp_path))):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 50

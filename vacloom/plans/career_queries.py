@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import table
+from ..bindings import dealt
 from ..sources import pages as op
 from .catalog import query
 
@@ -36,8 +36,8 @@ SEMANTIC = f"""SELECT o_orderkey AS page_id, 'R' || {K} AS external_id, 'Designe
 
 
 def career_pages(spark, sf_dir):
-    table(spark, sf_dir, "orders")
-    return spark.sql(PAGES.replace("{orders}", f"parquet.`{sf_dir}/orders.parquet`"))
+    own = PAGES.replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}")
+    return spark.sql(own, orders=dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
 
 
 @query("career_jsonld_nodes", "SELECT o_orderkey AS page_id, o_orderkey % 4 <> 1 AS complete, o_orderkey % 4 = 0 AS has_posting FROM orders")

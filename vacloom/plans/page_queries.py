@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import SUFFIX_LINES, domain_rules, role, table, with_roles
+from ..bindings import SUFFIX_LINES, dealt, domain_rules, role, table, with_roles
 from ..functions import text as t
 from ..functions import urls as u
 from ..operators import discovery, funding
@@ -114,8 +114,7 @@ BOARD_LINK = """SELECT l_orderkey AS site, 'https://site' || CAST(l_orderkey AS
 
 
 def board_links(spark, sf_dir):
-    pages(spark, sf_dir)
-    return spark.sql(BOARD_LINK.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`"))
+    return spark.sql(BOARD_LINK, lineitem=dealt(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 @query("board_candidates", f"""
@@ -147,8 +146,7 @@ PORTFOLIO = """SELECT p_partkey AS page_id, 'https://fund' || CAST(p_partkey % 9
 
 
 def portfolio_pages(spark, sf_dir):
-    pages(spark, sf_dir)
-    return spark.sql(PORTFOLIO.format(part=f"parquet.`{sf_dir}/part.parquet`"))
+    return spark.sql(PORTFOLIO, part=dealt(spark, sf_dir, "part", "p_partkey", "p_size"))
 
 
 @query("portfolio_candidates", """

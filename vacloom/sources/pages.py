@@ -159,9 +159,11 @@ def board_candidates(links: DataFrame, site: str) -> DataFrame:
 
 def external_links(links: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Career-like links to other sites that are not on a known board."""
-    rows = with_domains(links, {"url": "domain", "link": "_other"}, suffixes).withColumn("signals", external_career_signals(F.col("link")))
-    other = F.col("_other") != F.col("domain")
-    return rows.filter(other & (F.size("signals") > 0) & detect_board(F.col("link")).isNull()).select(
+    # Domains are looked up for the career-like links alone, which are picked once for all look-ups.
+    careers = durable(links.withColumn("signals", external_career_signals(F.col("link"))).filter(
+        (F.size("signals") > 0) & detect_board(F.col("link")).isNull()))
+    rows = with_domains(careers, {"url": "domain", "link": "_other"}, suffixes)
+    return rows.filter(F.col("_other") != F.col("domain")).select(
         "page_id", hostname(F.col("link")).alias("host"), "domain",
         F.col("url").alias("page"), F.lit(1).cast("long").alias("occurrences"), "signals",
         F.regexp_replace("link", "[?#].*$", "").alias("url"),
