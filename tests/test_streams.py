@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from vacloom.streaming import feed, stateful
@@ -83,3 +84,40 @@ def test_searches_are_entered_and_left(spark, tmp_path):
     got = stateful.watch_searches(stream, searches, ["family"], "job", "ts", F.col("open"), f"{tmp_path}/run")
     assert sorted(tuple(r) for r in got.collect()) == [
         ("s1", 1, "enter"), ("s1", 1, "leave"), ("s2", 1, "enter"), ("s2", 1, "leave"), ("s2", 2, "enter")]
+
+
+def test_signals_that_wait_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "SIGNAL_GROUPS", 2)
+    rows = [(i, at(0), at(3 + i)) for i in range(40)]
+    # Signal 5 is told again and expires later; signal 90 comes when its expiry has passed.
+    stream = parts(spark, tmp_path, "id int, ts timestamp, expires timestamp", rows, [(5, at(1), at(60)), (99, at(24), at(70))], [(90, at(24), at(2))])
+    got = feed.run_available(stateful.expired_signals(stream, "id", "ts", "expires", delay="1 hour"))
+    assert sorted((r.id, r.expired_at) for r in got.collect()) == sorted([(i, at(3 + i)) for i in range(21) if i != 5] + [(90, at(2))])
+    started = stateful.expired_signals(stream, "id", "ts", "expires").writeStream.format("noop").option(
+        "checkpointLocation", f"{tmp_path}/again").outputMode("append").trigger(availableNow=True).start()
+    started.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in started.recentProgress if p["stateOperators"]) <= 2
+
+
+def test_a_key_has_one_timer_however_many_outcomes_wait():
+    class Kept:
+        def __init__(self):
+            self.timers, self.rows, self.value = [], [], None
+
+        def getListState(self, name, schema):
+            return self
+
+        def getValueState(self, name, schema):
+            return self
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    held, misses = Kept(), stateful._Misses(["job"], "ts", "run", "seen")
+    misses.init(held)
+    rows = pd.DataFrame({"ts": pd.to_datetime([3000, 1000, 2000], unit="ms"), "run": ["a", "b", "c"], "seen": [True, False, False]})
+    assert list(misses.handleInputRows(("j",), iter([rows]), None)) == []
+    assert len(held.rows) == 3 and held.timers == [1000]

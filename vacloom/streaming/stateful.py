@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ class _Misses(StatefulProcessor):
         for part in rows:
             told = list(zip(part[self.at].to_numpy("datetime64[ms]").astype(int).tolist(), part[self.run].astype(str), part[self.seen].astype(bool)))
             self.waiting.appendList([(at, run, seen) for at, run, seen in told])
-            for at in {t[0] for t in told}:
-                self.handle.registerTimer(at)
+            # One timer for what waits first; what comes after it gets its own when that has gone off.
+            self.handle.registerTimer(min(t[0] for t in told))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -54,6 +55,8 @@ class _Misses(StatefulProcessor):
         later = [t for t in told if t[0] > now]
         if due:
             self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(min(t[0] for t in later))
         # A clock that has run out starts anew with the next miss, as if there had been none.
         if first is not None and now - first <= 2 * DAY_MS:
             self.clock.update((first, last_run))
@@ -86,25 +89,47 @@ def closed_after_misses(outcomes: DataFrame, keys: list[str], at: str, run: str,
         _Misses(keys, at, run, seen), f"{schema}, closed_at timestamp", "append", "eventTime")
 
 
+SIGNAL_GROUPS = 4096  # of signals that share a state, by a hash of their key
+
+
 def expired_signals(signals: DataFrame, key: str, at: str, expires: str, delay: str = "1 day") -> DataFrame:
-    """Each signal once the stream's clock has passed its expiry."""
+    """Each signal once the stream's clock has passed its expiry.
+
+    A group of signals waits in one state and has one timer, that of its first expiry; what a later batch says
+    of a signal that waits replaces its expiry.
+    """
     kind = dict(signals.dtypes)[key]
+    names = [key, "expired_at"]
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: rows[key], "expired_at": pd.to_datetime(rows["due"].to_numpy("datetime64[ms]"))}, columns=names)
 
     def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        keys, dues = state.get if state.exists else ([], [])
+        waiting = pd.DataFrame({key: pd.Series(list(keys), dtype=object), "due": np.array(dues, np.int64)})
         if state.hasTimedOut:
-            due = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [own[0]], "expired_at": [pd.Timestamp(due, unit="ms")]})
-            return
-        due = max(int(v.value // 1_000_000) for rows in batches for v in rows[expires])
-        if due <= state.getCurrentWatermarkMs():
-            yield pd.DataFrame({key: [own[0]], "expired_at": [pd.Timestamp(due, unit="ms")]})
+            ended = waiting["due"] < now
+            yield told(waiting[ended])
         else:
-            state.update((due,))
-            state.setTimeoutTimestamp(due)
+            new = pd.concat([pd.DataFrame({
+                key: rows[key].astype(object).where(rows[key].notna(), None),
+                "due": rows[expires].to_numpy("datetime64[ns]").astype(np.int64) // 1_000_000}) for rows in batches])
+            new = new.groupby(key, dropna=False, sort=False, as_index=False)["due"].max()
+            waiting = pd.concat([waiting[~waiting[key].isin(new[key])], new])
+            # No timer goes off for a group with new rows: what it would have ended ends here.
+            ended = (waiting["due"] < now) | (waiting["due"] <= now) & waiting[key].isin(new[key])
+            yield told(waiting[ended])
+        waiting = waiting[~ended]
+        if len(waiting):
+            state.update((waiting[key].where(waiting[key].notna(), None).tolist(), waiting["due"].tolist()))
+            state.setTimeoutTimestamp(max(int(waiting["due"].min()), now + 1))
+        elif state.exists:
+            state.remove()
 
-    return signals.withWatermark(at, delay).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, expired_at timestamp", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = signals.withWatermark(at, delay).select(key, expires, at).withColumn("_group", F.pmod(F.xxhash64(key), F.lit(SIGNAL_GROUPS)))
+    return grouped.groupBy("_group").applyInPandasWithState(
+        step, f"{key} {kind}, expired_at timestamp", f"keys array<{kind}>, dues array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _run(stream: DataFrame, folder: str, store) -> None:
