@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from vacloom.operators import discovery
 from vacloom.operators.discovery import nearest_rank
 from vacloom.operators.snapshots import rotating_window
 from vacloom.plans.skew import in_order, plan_text, rank_in_group, top_in_group
@@ -56,6 +57,25 @@ def test_percentiles_equal_sorting(spark):
     assert nearest_rank(spark.createDataFrame([], "k int, v double"), ["k"], "v", {"m": 0.5}).count() == 0
 
 
+def test_percentiles_deal_no_whole_key(spark, monkeypatch):
+    plans, durable = [], discovery.durable
+    monkeypatch.setattr(discovery, "durable", lambda df: plans.append(plan_text(df)) or durable(df))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"))
+        got = nearest_rank(rows, ["k"], "v", {"m": 0.5})
+        plans.append(plan_text(got))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    reading = [p for p in plans if "Range (" in p]
+    # The rows are read once, to be counted by key and value; what is joined later is dealt by key and range.
+    assert len(reading) == 1 and "Join" not in reading[0] and "rangepartitioning" in reading[0]
+    values = sorted((r.k, r.v) for r in rows.collect())
+    assert {r.k: r.m for r in got.collect()} == {k: [v for j, v in values if j == k][1250] for k in (0, 1)}
+    odd = [("a", x) for x in (1.0, 2.0, float("inf"), float("nan"))]
+    assert nearest_rank(spark.createDataFrame(odd, "k string, v double"), ["k"], "v", {"m": 0.5}).first()["m"] == float("inf")
+
+
 def test_places_in_global_order(spark):
     rows = spark.range(1000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
     placed, size = in_order(rows, [F.col("h").asc(), F.col("id").asc()], "place")

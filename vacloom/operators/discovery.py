@@ -365,34 +365,36 @@ def receipt_counts(receipts: DataFrame) -> DataFrame:
     return counted.withColumn("reconciled", adds_up).drop("_fetched_failed", "_odd")
 
 
-PARTS = 1024  # a range of values is cut into, each pass
-
-
 def nearest_rank(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles (index ceil((n - 1) f)) of a numeric column; null values do not count.
+    """Exact nearest-rank percentiles (index ceil((n - 1) f)) of a column that has an order; null values do not count.
 
-    Each pass cuts a key's range of values into parts of equal width, counts them and goes on in the part that
-    holds the index, until that has one value. A task sees counts of parts, never a whole key in order.
+    Equal values of a key are counted as one row, and these rows are dealt by ranges of key and value. The sizes of
+    a key's ranges tell which one holds an index; only that one is numbered. A task sees a range, never a whole key.
     """
-    given = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")).filter("_v IS NOT NULL")
     own = [f"_k{i}" for i in range(len(keys))]
-    ends = durable(given.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")))
-    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(f)).alias("f")) for n, f in fractions.items()]))
-    near = durable(ends.select(*own, "n", "low", "high", asked.alias("a")).select(
-        *[F.col(k).alias(f"a{k}") for k in own], F.col("a.name").alias("name"), "low", "high", F.ceil((F.col("n") - 1) * F.col("a.f")).alias("skip")))
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"a{k}")) for k in own])
-    while not near.filter("low < high").isEmpty():
-        width = F.col("high").cast("double") - F.col("low").cast("double")
-        share = F.floor((F.col("_v").cast("double") - F.col("low").cast("double")) / F.nullif(width, F.lit(0.0)) * PARTS)
-        # Beyond 2**53 whole numbers can differ that are equal as doubles.
-        part = F.least(F.coalesce(share, F.floor(F.col("_v") - F.col("low"))), F.lit(PARTS - 1))
-        counts = given.join(near.filter("low < high"), same & F.col("_v").between(F.col("low"), F.col("high"))).groupBy(
-            *[f"a{k}" for k in own], "name", "skip", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-        before = Window.partitionBy(*[f"a{k}" for k in own], "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("skip >= before AND skip < before + n")
-        near = durable(placed.select(*[f"a{k}" for k in own], "name", "low", "high", (F.col("skip") - F.col("before")).alias("skip")).unionByName(near.filter("low = high")))
-    found = near.groupBy(*[f"a{k}" for k in own]).agg(*[F.max(F.when(F.col("name") == n, F.col("low"))).alias(f"_f_{n}") for n in fractions])
-    return ends.join(found, same).select(*[F.col(k).alias(n) for k, n in zip(own, keys)], *[F.col(f"_f_{n}").alias(n) for n in fractions], F.col("low").alias("minimum"), F.col("high").alias("maximum"))
+    given = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    counted = given.groupBy(*own, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = durable(counted.repartitionByRange(*own, "_v").withColumn("_range", F.spark_partition_id()))  # from here on partitions stay as they are
+    parts = ranges.groupBy(*own, "_range").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    before = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = durable(parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    ends = parts.groupBy(*own).agg(F.sum("_n").alias("_size"), F.min("_low").alias("minimum"), F.max("_high").alias("maximum"))
+
+    def same(names: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"a{k}")) for k in names])
+
+    def other(frame: DataFrame, names: list[str]) -> DataFrame:
+        return frame.withColumnsRenamed({k: f"a{k}" for k in names})
+
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.ceil((F.col("_size") - 1) * F.lit(float(f))).alias("skip")) for n, f in fractions.items()]))
+    sized = parts.join(other(ends.select(*own, "_size"), own), same(own)).select(*own, "_range", "_before", "_n", asked.alias("a"))
+    near = sized.filter("a.skip >= _before AND a.skip < _before + _n").select(*own, "_range", "a.name", (F.col("a.skip") - F.col("_before")).alias("skip"))
+    at = [*own, "_range"]
+    inside = Window.partitionBy(*at, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranges.join(other(near, at), same(at)).withColumn("_upto", F.sum("_n").over(inside)).filter("skip >= _upto - _n AND skip < _upto")
+    found = placed.groupBy(*own).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(f"_f_{n}") for n in fractions])
+    return ends.join(other(found, own), same(own)).select(
+        *[F.col(k).alias(n) for k, n in zip(own, keys)], *[F.col(f"_f_{n}").alias(n) for n in fractions], "minimum", "maximum")
 
 
 def measurement_inputs(records: DataFrame, suffixes: DataFrame) -> DataFrame:
