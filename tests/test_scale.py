@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vacloom.operators import discovery
 from vacloom.operators.discovery import nearest_rank
 from vacloom.operators.snapshots import rotating_window
+from vacloom.plans import snapshot_queries
 from vacloom.plans.skew import in_order, plan_text, rank_in_group, top_in_group
 
 
@@ -76,6 +77,20 @@ def test_percentiles_deal_no_whole_key(spark, monkeypatch):
     assert nearest_rank(spark.createDataFrame(odd, "k string, v double"), ["k"], "v", {"m": 0.5}).first()["m"] == float("inf")
 
 
+def test_states_read_twice_are_joined_once(spark, tmp_path):
+    boards = {10: (range(1, 31), [1]), 20: (range(1, 31), range(1, 31)), 30: (range(1, 6), range(1, 5))}
+    rows = [(s, p, f"{year}-03-01") for s, both in boards.items() for year, parts in zip((1996, 1997), both) for p in parts]
+    spark.createDataFrame([*rows, (10, None, "1997-03-01")], "l_suppkey long, l_partkey long, day string").select(
+        "l_suppkey", "l_partkey", F.col("day").cast("timestamp").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    frozen = snapshot_queries.snapshot_frozen_members(spark, str(tmp_path))
+    closing = snapshot_queries.snapshot_closures(spark, str(tmp_path))
+    assert not any(x in plan_text(df) for df in (frozen, closing) for x in ("FullOuter", "FileScan"))
+    kinds = sorted((r.kind, r.external_id or 0) for r in frozen.filter("run_id = 1997 AND source_id = 10").collect())
+    assert kinds == [*(("existing", i) for i in range(1, 31)), *(("missing", i) for i in range(2, 31)), ("observed", 0), ("observed", 1)]
+    assert frozen.count() == len(kinds)
+    assert [tuple(r) for r in closing.select("run_id", "source_id", "external_id").collect()] == [(1997, 30, 5)]
+
+
 def test_places_in_global_order(spark):
     rows = spark.range(1000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
     placed, size = in_order(rows, [F.col("h").asc(), F.col("id").asc()], "place")

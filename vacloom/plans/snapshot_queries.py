@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 from ..bindings import role, with_roles
 from ..functions import hashing
 from ..operators import snapshots as op
+from ..session import durable
 from .catalog import query
 
 SCOPE = ["run_id", "source_id"]
 
 
 def diffed(spark, sf_dir):
-    """Every ship year against the year before it, all runs in one plan."""
+    """Every ship year against the year before it, all runs in one plan, and the sources of each run, found once."""
     observed = role(spark, sf_dir, "snapshot")
     stored = observed.withColumn("run_id", F.col("run_id") + 1)
-    return op.diff_identities(stored, observed, observed, SCOPE), observed
+    fetched = durable(observed.select(*SCOPE).distinct())
+    return op.diff_identities(stored, observed, fetched, SCOPE), fetched
+
+
+def diffed_once(spark, sf_dir):
+    """The same for queries that read the states twice, to assess them and to list some: both reads share one join."""
+    diff, fetched = diffed(spark, sf_dir)
+    return durable(diff), fetched
 
 
 STATE = """
@@ -42,8 +50,8 @@ def snapshot_diff(spark, sf_dir):
 
 @query("snapshot_guard", with_roles("snapshot", then=ASSESSED))
 def snapshot_guard(spark, sf_dir):
-    diff, observed = diffed(spark, sf_dir)
-    return op.assess(diff, observed, SCOPE).drop("reason")
+    diff, fetched = diffed(spark, sf_dir)
+    return op.assess(diff, fetched, SCOPE).drop("reason")
 
 
 @query("snapshot_frozen_members", with_roles("snapshot", then=f"""
@@ -52,8 +60,8 @@ def snapshot_guard(spark, sf_dir):
   JOIN (VALUES ('new', 'observed'), ('retained', 'observed'), ('retained', 'existing'), ('missing', 'existing'),
     ('missing', 'missing')) k(state, kind) ON k.state = s.state"""))
 def snapshot_frozen_members(spark, sf_dir):
-    diff, observed = diffed(spark, sf_dir)
-    return op.frozen_members(diff, op.assess(diff, observed, SCOPE), SCOPE)
+    diff, fetched = diffed_once(spark, sf_dir)
+    return op.frozen_members(diff, op.assess(diff, fetched, SCOPE), SCOPE)
 
 
 @query("snapshot_closures", with_roles("snapshot", then=f"""
@@ -61,8 +69,8 @@ def snapshot_frozen_members(spark, sf_dir):
   JOIN ({ASSESSED}) a ON a.run_id = s.run_id AND a.source_id = s.source_id AND a.status = 'accepted'
   WHERE s.state = 'missing'"""))
 def snapshot_closures(spark, sf_dir):
-    diff, observed = diffed(spark, sf_dir)
-    return op.closing_identities(diff, op.assess(diff, observed, SCOPE), SCOPE)
+    diff, fetched = diffed_once(spark, sf_dir)
+    return op.closing_identities(diff, op.assess(diff, fetched, SCOPE), SCOPE)
 
 
 FNV_SQL = """list_reduce(list_prepend(CAST(2166136261 AS UBIGINT),
@@ -104,8 +112,8 @@ def snapshot_digests(spark, sf_dir):
       WHEN count(*) FILTER (WHERE status = 'accepted') < count(*) THEN 'partial_success' ELSE 'success' END AS overall_status
   FROM ({ASSESSED}) GROUP BY 1"""))
 def refresh_outcomes(spark, sf_dir):
-    diff, observed = diffed(spark, sf_dir)
-    results = op.assess(diff, observed, SCOPE).select(
+    diff, fetched = diffed(spark, sf_dir)
+    results = op.assess(diff, fetched, SCOPE).select(
         "run_id", F.when(F.col("status") == "accepted", "success").otherwise("quarantined").alias("status"),
         F.col("observed_open").alias("opened"), F.col("missing").alias("closed"),
     )
