@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from vacloom.operators import discovery
+from vacloom.operators import discovery, movements
 from vacloom.operators.discovery import nearest_rank
 from vacloom.operators.snapshots import rotating_window
 from vacloom.plans import snapshot_queries
@@ -91,6 +91,22 @@ def test_states_read_twice_are_joined_once(spark, tmp_path):
     assert [tuple(r) for r in closing.select("run_id", "source_id", "external_id").collect()] == [(1997, 30, 5)]
 
 
+def test_movements_count_without_copies_of_their_events(spark):
+    rows = [(1, 7, "S", "job_opened", j, t, u) for j, t, u in [(1, "b", "x"), (2, None, "x"), (3, "a", None), (4, "c", "y")]]
+    rows += [(1, 7, "S", "job_closed", 1, "b", "z"), (1, 8, "S", "job_opened", 9, "d", "x"), (1, 9, None, "job_closed", 5, None, "x")]
+    evidence = spark.createDataFrame(rows, "day int, company_id int, sector string, change_type string, job_id int, title string, source_url string")
+    own, sectors = movements.day_movements(evidence, ["day", "company_id", "sector"]), movements.day_movements(evidence, ["day", "sector"])
+    for df in (own, sectors):
+        # No row is multiplied to count different values, and each task passes on a movement's first titles only.
+        plan = plan_text(df)
+        assert "Expand" not in plan and plan.count("WindowGroupLimit") == 2
+    numbers = ["opened", "closed", "net", "evidence_count", "source_url_count", "company_count", "description"]
+    assert {r.company_id: tuple(r[n] for n in numbers) for r in own.collect()} == {
+        7: (4, 1, 3, 5, 3, 1, "4 opened and 1 closed: a, b +2 more."), 8: (1, 0, 1, 1, 1, 1, "1 opened: d."), 9: (0, 1, -1, 1, 1, 1, "1 closed: .")}
+    assert {r.sector: tuple(r[n] for n in numbers) for r in sectors.collect()} == {
+        "S": (5, 1, 4, 6, 3, 2, "5 opened and 1 closed: a, b +3 more."), None: (0, 1, -1, 1, 1, 1, "1 closed: .")}
+
+
 def test_places_in_global_order(spark):
     rows = spark.range(1000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
     placed, size = in_order(rows, [F.col("h").asc(), F.col("id").asc()], "place")
